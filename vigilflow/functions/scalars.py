@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,12 @@ def strip(c) -> Column:
     return F.btrim(_col(c), F.lit(_WHITESPACE))
 
 
+def pinned(df: DataFrame, *cols) -> DataFrame:
+    """Project ``cols`` once. A one-row generator keeps later filters from being pushed below and
+    computing the same parsing again."""
+    return df.select(F.explode(F.array(F.struct(*cols))).alias("_row")).select("_row.*")
+
+
 def clean_strings(df: DataFrame) -> DataFrame:
     """Trim header names (byte-order mark included) and every string column."""
     named = df.toDF(*[n.replace("﻿", "").strip() for n in df.columns])
@@ -31,8 +37,7 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 def number(c) -> Column:
     """Numeric cast that yields NULL instead of failing; NaN counts as missing."""
-    d = strip(_col(c).cast("string")).try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nullif(_col(c).try_cast("double"), F.lit(float("nan")))
 
 
 def safe_double(c, default: float = 0.0) -> Column:
@@ -72,8 +77,8 @@ def flow_time(c) -> Column:
 
 def iso_epoch(c) -> Column:
     """Epoch number, or ISO-8601 text (naive = UTC); 0 when neither."""
-    s = strip(_col(c).cast("string"))
-    return F.coalesce(s.try_cast("double"), epoch(s.try_cast("timestamp")), F.lit(0.0))
+    s = F.regexp_replace(strip(_col(c).cast("string")), r"([+-]\d\d)(\d\d)$", "$1:$2")
+    return F.coalesce(strip(_col(c).cast("string")).try_cast("double"), epoch(s.try_cast("timestamp")), F.lit(0.0))
 
 
 def feed_epoch(c) -> Column:
@@ -122,14 +127,36 @@ def proto_family(c) -> Column:
     )
 
 
-def first_alias(m, keys: Sequence[str]) -> Column:
-    """First non-empty value among ``keys`` of a string map; each key is tried as given, then lower-cased.
+def lowered_map(m) -> Column:
+    """The map with lower-cased keys; of keys that differ in case alone the last one stays."""
+    keys = F.transform(F.map_keys(m), F.lower)
+    pairs = F.arrays_zip(keys.alias("key"), F.map_values(m).alias("value"))
+    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    plain = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(plain, F.map_from_arrays(keys, F.map_values(m))).otherwise(F.map_from_entries(last))
+
+
+def map_lookup(exact: str, lowered: str) -> Callable[[str], Column]:
+    """Key lookup in a string map: exact spelling first, then any spelling that differs in case."""
+    return lambda key: F.coalesce(F.col(exact)[key], F.col(lowered)[key.lower()])
+
+
+def column_lookup(df: DataFrame) -> Callable[[str], Column | None]:
+    """The same lookup over the columns of a frame, resolved while planning."""
+    exact = {c: c for c in df.columns}
+    lowered = {c.lower(): c for c in df.columns}
+
+    def get(key: str) -> Column | None:
+        name = exact.get(key) or lowered.get(key.lower())
+        return F.col(f"`{name}`") if name else None
+
+    return get
+
 
-    ``m`` is a pair (map, map with lower-cased keys).
-    """
-    exact, lowered = m
-    tries = [F.nullif(F.coalesce(exact[k], lowered[k.lower()]), F.lit("")) for k in keys]
-    return F.coalesce(*tries)
+def first_alias(get, keys: Sequence[str]) -> Column:
+    """First non-empty value among ``keys``."""
+    found = [F.nullif(c.cast("string"), F.lit("")) for c in map(get, keys) if c is not None]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def narrowest(df: DataFrame, cols: Sequence[str]) -> DataFrame:

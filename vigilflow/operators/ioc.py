@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import strip
+from ..functions.scalars import pinned, strip
 from ..session import broadcast_if_small
 
 KEY = ("value", "ioc_type", "source")
@@ -36,8 +36,8 @@ def normalise(records: DataFrame) -> DataFrame:
     first = F.coalesce(F.col("first_seen"), F.lit(0.0)).cast("double")
     last = F.coalesce(F.col("last_seen"), F.lit(0.0)).cast("double")
     first_or_last = F.when(first <= 0, last).otherwise(first)
-    fixed = records.withColumns({
-        "value": strip("value"),
+    fixed = {
+        "value": F.col("value"),
         "ioc_type": F.coalesce(F.nullif(forced, F.lit("")), classify("value")),
         "first_seen": first_or_last,
         "last_seen": F.when(last <= 0, first_or_last).otherwise(last),
@@ -45,8 +45,11 @@ def normalise(records: DataFrame) -> DataFrame:
         "tags": F.substring(F.coalesce(F.col("tags"), F.lit("")), 1, 500),
         "provenance": F.lit("live"),
         "sightings": F.coalesce(F.col("sightings"), F.lit(1)).cast("int"),
-    })
-    return fixed.where(F.col("ioc_type").isNotNull())
+    }
+    rest = [c for c in records.columns if c not in fixed]
+    trimmed = records.withColumn("value", strip("value"))
+    typed = pinned(trimmed, *[e.alias(n) for n, e in fixed.items()], *rest)
+    return typed.where(F.col("ioc_type").isNotNull())
 
 
 def upsert(incoming: DataFrame, existing: DataFrame | None = None, order: str = "seq") -> DataFrame:

@@ -19,6 +19,8 @@ def get_session(app: str = "vigilflow", master: str | None = None, partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
@@ -28,8 +30,9 @@ def get_session(app: str = "vigilflow", master: str | None = None, partitions: i
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the one setting results depend on."""
+    """Pin the one setting results depend on, and keep wide parsing stages within what the JIT compiles."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
