@@ -109,3 +109,88 @@ def start(df: DataFrame) -> float:
 
 
 CTES["t0"] = (("flows",), "select min(ts) as t0 from flows")
+
+
+# ------------------------------------------------------------ scored flows
+CTES["scored"] = (("flows",), "select flow_id, ts, label, proto, sbytes / 5000 as score, cast(1 + flow_id % 5 as int) as fold from flows")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with a score that has many ties."""
+    return flows(spark, sf_dir).select(
+        "flow_id", "ts", "label", "proto", (F.col("sbytes") / 5000).alias("score"), (1 + F.col("flow_id") % 5).cast("int").alias("fold"))
+
+
+# ------------------------------------------------------------------ alerts
+REASON_FEATURES = ("ioc_dst_match", "Dload", "mean_pkt_size", "dmeansz", "service_http", "state_FIN", "dur", "sttl",
+                   "feed_confidence", "proto_tcp", "ct_srv_src", "byte_rate")
+
+
+def attack_of(name: str) -> tuple[str, str]:
+    import re
+
+    from ..functions.attack import RULES, UNCATEGORISED
+
+    for pattern, tactic, technique in RULES:
+        if re.search(pattern, name):
+            return tactic, technique
+    return UNCATEGORISED
+
+
+def _reason_list_sql() -> str:
+    rows = []
+    for f in REASON_FEATURES:
+        tac, tech = attack_of(f)
+        rows.append(f"{{'feature': '{f}', 'tactic': '{tac}', 'technique': '{tech}'}}")
+    return "[" + ", ".join(rows) + "]"
+
+
+CTES["alerts"] = (("flows",), f"""
+select 'r1-' || flow_id as alert_id, flow_id, ts, src_ip, dst_ip, dst_port, proto, score, src_hit, dst_hit,
+ case when src_hit + dst_hit > 0 then 0.5 + (flow_id % 5) * 0.1 else 0 end as feed_confidence,
+ cast(case when src_hit + dst_hit > 0 then 1 + flow_id % 3 else 0 end as int) as source_count,
+ [r[1 + flow_id % 12], r[1 + (flow_id // 3) % 12], r[1 + (flow_id // 7) % 12]] as reasons,
+ case when src_hit + dst_hit > 0 and flow_id % 3 = 0 then 'apt-attributed' when src_hit + dst_hit > 0 then 'apt-candidate'
+  else 'not-apt' end as verdict, src_hit + dst_hit > 0 and flow_id % 3 = 0 as notify,
+ case when src_hit + dst_hit > 0 then 'Actor ' || (flow_id % 13) end as actor, 0.3 + score / 2 as confidence
+from (select *, round(0.6 + 0.4 * (sbytes / (sbytes + 200)), 4) as score, {_reason_list_sql()} as r,
+ case when label = 1 and flow_id % 2 = 0 then 1 else 0 end as dst_hit,
+ case when label = 1 and flow_id % 2 = 1 and flow_id % 3 = 0 then 1 else 0 end as src_hit from flows)
+where score >= {THETA}""")
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert records of the flows that score over the threshold."""
+    fid = F.col("flow_id")
+    refs = {f: attack_of(f) for f in REASON_FEATURES}
+    pool = F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.lit(1.0).alias("value"), F.lit(0.1).alias("shap"), F.lit(f"{f} = 1").alias("reason"),
+        F.lit(refs[f][0]).alias("tactic"), F.lit(refs[f][1]).alias("technique")) for f in REASON_FEATURES])
+    f = flows(spark, sf_dir).withColumns({
+        "score": F.round(F.lit(0.6) + F.lit(0.4) * (F.col("sbytes") / (F.col("sbytes") + 200)), 4),
+        "dst_hit": ((F.col("label") == 1) & (fid % 2 == 0)).cast("int"),
+        "src_hit": ((F.col("label") == 1) & (fid % 2 == 1) & (fid % 3 == 0)).cast("int"),
+    }).where(F.col("score") >= THETA)
+    hit = (F.col("src_hit") + F.col("dst_hit")) > 0
+
+    def pick(i):
+        return F.get(F.col("_pool"), (i % 12).cast("int"))
+
+    conf = F.lit(0.3) + F.col("score") / 2
+    null = F.lit(None)
+    return f.withColumn("_pool", pool).select(
+        F.concat(F.lit("r1-"), fid).alias("alert_id"), F.lit("2024-02-01T00:00:00+00:00").alias("emitted_at"),
+        F.struct(F.lit("live_netflow").alias("profile"), F.lit(THETA).alias("theta"), F.lit("").alias("trained_at")).alias("model"),
+        F.struct("ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "dur", "sbytes", "dbytes").alias("flow"), "score",
+        F.struct(F.col("src_hit").cast("double").alias("ioc_src_match"), F.col("dst_hit").cast("double").alias("ioc_dst_match"),
+                 F.when(hit, 0.5).otherwise(0.0).alias("feed_age_score"),
+                 F.when(hit, F.lit(0.5) + (fid % 5) * F.lit(0.1)).otherwise(0.0).alias("feed_confidence"),
+                 F.when(hit, 1 + fid % 3).otherwise(0).cast("int").alias("source_count")).alias("cti"),
+        F.array(pick(fid), pick(F.floor(fid / 3)), pick(F.floor(fid / 7))).alias("reasons"),
+        F.struct(
+            F.when(hit & (fid % 3 == 0), "apt-attributed").when(hit, "apt-candidate").otherwise("not-apt").alias("verdict"),
+            (hit & (fid % 3 == 0)).alias("notify"), conf.alias("confidence"), null.cast("string").alias("category"),
+            F.when(hit, F.struct(F.concat(F.lit("Actor "), fid % 13).alias("name"), F.lit("G0001").alias("mitre_id"))).alias("actor"),
+            hit.alias("ioc_backed")).alias("attribution"),
+        fid.alias("seq"),
+    )
