@@ -149,7 +149,7 @@ CTES["alerts"] = (("flows",), f"""
 select 'r1-' || flow_id as alert_id, flow_id, ts, src_ip, dst_ip, dst_port, proto, score, src_hit, dst_hit,
  case when src_hit + dst_hit > 0 then 0.5 + (flow_id % 5) * 0.1 else 0 end as feed_confidence,
  cast(case when src_hit + dst_hit > 0 then 1 + flow_id % 3 else 0 end as int) as source_count,
- [r[1 + flow_id % 12], r[1 + (flow_id // 3) % 12], r[1 + (flow_id // 7) % 12]] as reasons,
+ [r[1 + flow_id % 12], r[1 + (flow_id * 5 + 1) % 12], r[1 + (flow_id * 7 + 3) % 12]] as reasons,
  case when src_hit + dst_hit > 0 and flow_id % 3 = 0 then 'apt-attributed' when src_hit + dst_hit > 0 then 'apt-candidate'
   else 'not-apt' end as verdict, src_hit + dst_hit > 0 and flow_id % 3 = 0 as notify,
  case when src_hit + dst_hit > 0 then 'Actor ' || (flow_id % 13) end as actor, 0.3 + score / 2 as confidence
@@ -186,7 +186,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.when(hit, 0.5).otherwise(0.0).alias("feed_age_score"),
                  F.when(hit, F.lit(0.5) + (fid % 5) * F.lit(0.1)).otherwise(0.0).alias("feed_confidence"),
                  F.when(hit, 1 + fid % 3).otherwise(0).cast("int").alias("source_count")).alias("cti"),
-        F.array(pick(fid), pick(F.floor(fid / 3)), pick(F.floor(fid / 7))).alias("reasons"),
+        F.array(pick(fid), pick(fid * 5 + 1), pick(fid * 7 + 3)).alias("reasons"),
         F.struct(
             F.when(hit & (fid % 3 == 0), "apt-attributed").when(hit, "apt-candidate").otherwise("not-apt").alias("verdict"),
             (hit & (fid % 3 == 0)).alias("notify"), conf.alias("confidence"), null.cast("string").alias("category"),
@@ -194,3 +194,50 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
             hit.alias("ioc_backed")).alias("attribution"),
         fid.alias("seq"),
     )
+
+
+# ------------------------------------------------------------------ actors
+TECHNIQUES = ("T1071", "T1571", "T1041", "T1090", "T1046", "T1021", "T1027", "T1190", "T1110", "T1562", "T1095", "T1005")
+STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "with", "as", "by", "this", "that", "an", "or", "are",
+              "from", "at", "be", "was", "over")
+
+CTES["actors"] = ((), f"""
+select cast(doc_id as varchar) as id, 'Actor ' || doc_id as name, 'G' || lpad(cast(doc_id % 10000 as varchar), 4, '0') as mitre_id,
+ lang as origin, source as sector, 'Alias ' || (doc_id % 37) as alias, text as summary,
+ list_filter([{", ".join(f"case when (doc_id * {2 * i + 3} + {i}) % 5 = 0 then '{t}' end" for i, t in enumerate(TECHNIQUES))},
+  case when doc_id % 2 = 0 then 'T1071.001' end], lambda x: x is not null) as techniques
+from documents""")
+
+
+def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One actor per document; the text is its summary."""
+    d, did = table(spark, sf_dir, "documents"), F.col("doc_id")
+    ts = [F.when((did * (2 * i + 3) + i) % 5 == 0, t) for i, t in enumerate(TECHNIQUES)]
+    ts.append(F.when(did % 2 == 0, "T1071.001"))
+    return d.select(
+        did.cast("string").alias("id"), F.concat(F.lit("Actor "), did).alias("name"),
+        F.concat(F.lit("G"), F.lpad((did % 10000).cast("string"), 4, "0")).alias("mitre_id"), F.col("lang").alias("origin"),
+        F.lit("").alias("sponsor"), F.array("source").alias("sectors"), F.array(F.concat(F.lit("Alias "), did % 37)).alias("aliases"),
+        F.col("text").alias("summary"), F.filter(F.array(*ts), lambda x: x.isNotNull()).alias("techniques"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def counts_cte(name: str, source: str, key: str) -> str:
+    """(key, term, tf) over words and bigrams of ``source.text``."""
+    return f"""{name} as (select {key}, term, count(*) as tf from (select {key}, unnest(list_concat(w,
+ [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as term from (select {key}, list_filter(
+ regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOP})) as w from {source})) group by 1, 2)"""
+
+
+CTES["docs"] = (("actors",), """
+select id, trim(regexp_replace(concat_ws(' ', name, alias, origin, sector, nullif(summary, ''), nullif(array_to_string(techniques, ' '), '')), '\\s+', ' ', 'g')) as text
+from actors""")
+CTES["counts"] = (("docs",), counts_cte("x", "docs", "id")[len("x as ("):-1])
+CTES["terms"] = (("counts",), """
+select term, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf from counts group by term
+order by sum(tf) desc, term limit 80000""")
+CTES["postings"] = (("terms",), """
+select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from (
+ select id, term, (1 + ln(tf)) * idf as w from counts join terms using (term))""")
