@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import align, design, design_names
+from ..session import cut
 from . import metrics as m
 from .splits import k_folds
 
@@ -78,12 +79,12 @@ def fit_and_score(parts: DataFrame, estimator, target_recall: float):
 
 def cross_validate(df: DataFrame, key: str, make, s: Settings) -> DataFrame:
     """One metrics row per fold; the threshold is tuned on an inner part of the training folds."""
-    folds = k_folds(df, key, s.folds, s.seed).persist()
+    folds = cut(k_folds(df, key, s.folds, s.seed))
     rows = None
     for f in range(1, s.folds + 1):
         split = F.when(F.col("fold") == f, "test").when(F.col("inner") < 0.2, "val").otherwise("train")
         _, _, r = fit_and_score(folds.withColumn("split", split), make(s), s.target_recall)
-        r = r.withColumn("fold", F.lit(f))
+        r = cut(r.withColumn("fold", F.lit(f)))
         rows = r if rows is None else rows.unionByName(r)
     return rows
 

@@ -28,7 +28,8 @@ def designed(enriched: DataFrame, key: str = "flow_id", pool_floor: int = 50, se
     num, cat = ft.split_types(enriched, drop=(key, "age_s", *skip))
     vocab = ft.freeze(ft.build_vocabulary(enriched, cat, floor=pool_floor))
     d = ft.design(enriched, num, vocab, (key, "ts", "label", "attack_cat"))
-    return train_val_test(d, key, seed), ft.design_names(num, vocab), num, vocab
+    # every fit and score below reads this: materialise it once
+    return cut(train_val_test(d, key, seed)), ft.design_names(num, vocab), num, vocab
 
 
 def parts(design: DataFrame, features, key: str = "flow_id") -> DataFrame:
@@ -39,11 +40,10 @@ def baseline(design: DataFrame, variants: dict[str, list[str]], s: ml.Settings,
     """Every comparator on every feature set, thresholds at matched recall."""
     rows = []
     for name, feats in variants.items():
-        p = parts(design, feats).persist()
+        p = parts(design, feats)
         for model in models:
             _, _, r = ml.fit_and_score(p, ml.COMPARATORS[model](s), s.target_recall)
             rows.append(cut(_tag(r, variant=name, model=model)))
-        p.unpersist()
     return _union(rows)
 
 
@@ -53,10 +53,9 @@ def ablation(design: DataFrame, features, s: ml.Settings, extra: dict[str, DataF
     todo = [(n, design, f) for n, f in ft.ablation_groups(features).items()]
     todo += [(n, d, list(features)) for n, d in (extra or {}).items()]
     for name, d, feats in todo:
-        p = parts(ft.align(d, feats, ("flow_id", "label", "split")), feats).persist()
+        p = parts(ft.align(d, feats, ("flow_id", "label", "split")), feats)
         _, _, r = ml.fit_and_score(p, ml.random_forest(s), s.target_recall)
         rows.append(cut(_tag(r, variant=name, n_features=len(feats))))
-        p.unpersist()
     return _union(rows)
 
 
@@ -74,24 +73,24 @@ def freshness(
     split = ref.select("flow_id", "split")
     rows = []
     for minutes in intervals_min:
-        e = enriched(minutes)
-        d = ft.align(ft.design(e, num, vocab, ("flow_id", "label")), feats, ("flow_id", "label")).join(split, "flow_id")
-        p = parts(d, feats).persist()
-        sc = ml.score(model, p).select("flow_id", "label", "split", "score").persist()
+        e = enriched(minutes).join(split, "flow_id")
+        d = cut(ft.align(ft.design(e, num, vocab, ("flow_id", "label", "split", "age_s")), feats,
+                         ("flow_id", "label", "split", "age_s")))
+        p = parts(d, feats)
+        sc = cut(ml.score(model, p).select("label", "split", "score"))
         test = sc.where("split = 'test'")
         theta_i = m.theta_of(sc.where("split = 'val'"), s.target_recall)
-        at, matched = m.metrics_at(test, theta), m.confusion(test, theta_i)
-        cov = cti.coverage(e.join(split.where("split = 'test'"), "flow_id", "left_semi"))
-        row = at.select(F.lit(float(minutes)).alias("interval_min"), "recall", "precision", "f1", "fpr", "pr_auc", "roc_auc", "n_alerts")
-        one = {f"matched_{c}": matched.select(c).scalar() for c in ("recall", "precision", "f1", "fpr")}
-        one |= {c: cov.select(c).scalar() for c in cov.columns}
+        # one row each
+        found = {c: x for c, x in m.metrics_at(test, theta).first().asDict().items() if c in METRICS}
+        found |= {f"matched_{c}": x for c, x in m.confusion(test, theta_i).first().asDict().items()
+                  if c in ("recall", "precision", "f1", "fpr", "theta")}
+        found |= cti.coverage(d.where("split = 'test'")).first().asDict()
         if retrain:
-            _, _, again = ml.fit_and_score(p, ml.random_forest(s), s.target_recall)
-            one |= {f"retrain_{c}": again.select(c).scalar() for c in ("recall", "precision", "f1", "fpr", "pr_auc")}
-        rows.append(cut(row.withColumns(one).withColumn("matched_theta", F.lit(theta_i))))
-        sc.unpersist()
-        p.unpersist()
-    return _union(rows)
+            again = ml.fit_and_score(p, ml.random_forest(s), s.target_recall)[2].first().asDict()
+            found |= {f"retrain_{c}": again[c] for c in ("recall", "precision", "f1", "fpr", "pr_auc")}
+        rows.append({"interval_min": float(minutes), **found})
+    schema = ", ".join(f"{c} {'bigint' if c in ('n', 'n_alerts') else 'double'}" for c in rows[0])
+    return flows.sparkSession.createDataFrame([tuple(r.values()) for r in rows], schema)
 
 
 def explain_alerts(model, design: DataFrame, features, theta: float, limit: int = 500, top_k: int = 3, seed: int = 42) -> DataFrame:
@@ -111,7 +110,8 @@ def stability(design: DataFrame, features, s: ml.Settings, sample: int = 800) ->
     """Per fold and feature: mean absolute contribution on a sample of the fold's test rows."""
     from ..operators.splits import k_folds
 
-    d = ml.prepare(k_folds(design.where("split <> 'test'"), "flow_id", s.folds, s.seed), features, ("flow_id", "label", "fold", "inner")).persist()
+    d = ml.prepare(cut(k_folds(design.where("split <> 'test'"), "flow_id", s.folds, s.seed)), features,
+                   ("flow_id", "label", "fold", "inner"))
     rows = []
     for f in range(1, s.folds + 1):
         model = ml.fit(d.where((F.col("fold") != f) & (F.col("inner") >= 0.2)), ml.random_forest(s))
@@ -119,13 +119,13 @@ def stability(design: DataFrame, features, s: ml.Settings, sample: int = 800) ->
         e = shap.explainer(shap.node_table(model, design.sparkSession), len(features))
         st = ex.strength(shap.explain(test, e), features)
         rows.append(cut(st.select(F.lit(f).alias("fold"), "feature", "strength")))
-    d.unpersist()
     return _union(rows)
 
 
 def transfer(designs: dict[str, DataFrame], features, s: ml.Settings) -> DataFrame:
     """Train on one dataset, test on the other, against a model trained in-domain; both directions."""
-    ready = {n: ml.prepare(train_val_test(d, "flow_id", s.seed), features, ("flow_id", "label", "split")).persist() for n, d in designs.items()}
+    ready = {n: ml.prepare(cut(train_val_test(d, "flow_id", s.seed)), features, ("flow_id", "label", "split"))
+             for n, d in designs.items()}
     fitted = {n: ml.fit_and_score(p, ml.random_forest(s), s.target_recall) for n, p in ready.items()}
     rows = []
     for src in designs:

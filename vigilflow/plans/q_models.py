@@ -122,7 +122,7 @@ def exp_ablation(spark, sf):
     """Feature groups under controlled injection, the traffic-only control, and true live-feed features."""
     d, feats, num, vocab = _design(spark, sf)
     live = ft.add_rates(q_cti._enriched(spark, sf, ttl=604800.0))
-    live_d = ft.design(live, num, vocab, ("flow_id", "label")).join(d.select("flow_id", "split"), "flow_id")
+    live_d = xp.cut(ft.design(live, num, vocab, ("flow_id", "label")).join(d.select("flow_id", "split"), "flow_id"))
     rows = xp.ablation(d, feats, S, {"traffic_plus_live_cti": live_d})
     return rows.join(m.fpr_reduction(rows, "traffic_only").select("variant", "relative_reduction"), "variant", "left")
 
@@ -142,7 +142,7 @@ def exp_freshness(spark, sf):
 @query("exp_stability")
 def exp_stability(spark, sf):
     d, feats, _, _ = _design(spark, sf)
-    st = xp.stability(d, feats, S)
+    st = xp.stability(d, feats, S)  # one row per fold and feature
     jac = ex.top_k_jaccard(ex.top_features(st, 10)).withColumnsRenamed({"mean": "mean_top10_jaccard", "min": "min_top10_jaccard"})
     tac = ex.tactic_stability(ex.tactic_distribution(st))
     return jac.withColumns({c: tac.select(c).scalar() for c in tac.columns})

@@ -24,6 +24,8 @@ def get_session(app: str = "vigilflow", master: str | None = None, partitions: i
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", os.environ.get("VIGILFLOW_DRIVER_MEMORY", "8g"))
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
