@@ -351,3 +351,11 @@ def join_semi_selected(spark, sf):
     f = v.flows(spark, sf)
     sel = cti.select_injected(f).select(F.col("ip").alias("src_ip"))
     return f.join(sel, "src_ip", "left_semi").select("flow_id", "src_ip", "dst_ip")
+
+
+def ft_rates(spark, sf):
+    """Live-enriched flows with native and derived rate columns, as the scorer sees them."""
+    from ..functions.features import add_rates
+    from ..sources.flows import derive
+
+    return add_rates(derive(_enriched(spark, sf)))
