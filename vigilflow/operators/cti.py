@@ -172,20 +172,28 @@ def timeline(sightings: DataFrame, interval_s: float, t0, source_mode: str = "mo
 
 
 # ---------------------------------------------------------------- as-of join
-def slot_width(interval_s: float, ttl_s: float) -> float:
+def slot_width(interval_s: float, ttl_s: float, densest: int | None = None) -> float:
     """Width of the time slots that join keys carry.
 
     A slot holds at most width/interval polls and an entry is carried into at most ttl/width later
-    slots; the square root balances the two, so neither side grows with the data.
+    slots; the square root balances the two, so neither side grows with the data. When the ``densest``
+    value has few polls per time to live, slots may be wider and hardly anything is carried.
     """
     if interval_s <= 1e-9:
         return max(ttl_s / 64.0, 1e-6)
-    return max(interval_s, math.sqrt(ttl_s * interval_s))
+    even = max(interval_s, math.sqrt(ttl_s * interval_s))
+    return even if densest is None else min(ttl_s, max(even, ttl_s * 16 / max(densest, 1)))
 
 
-def slotted_timeline(tl: DataFrame, interval_s: float, ttl_s: float, t0) -> DataFrame:
+def densest_value(tl: DataFrame, ttl_s: float, t0) -> int:
+    """Most polls of one value within one time to live (one number)."""
+    per = tl.groupBy("value", F.floor((F.col("poll_t") - _num(t0)) / ttl_s).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return int(per.agg(F.max("n")).first()[0] or 0)
+
+
+def slotted_timeline(tl: DataFrame, interval_s: float, ttl_s: float, t0, width: float | None = None) -> DataFrame:
     """Timeline keyed by (value, slot); each slot also starts with the entry still valid from before."""
-    width = slot_width(interval_s, ttl_s)
+    width = width or slot_width(interval_s, ttl_s)
 
     def slot(t: Column) -> Column:
         return F.floor((t - _num(t0)) / width)
@@ -210,7 +218,7 @@ def slotted_timeline(tl: DataFrame, interval_s: float, ttl_s: float, t0) -> Data
 
 def asof_join(
     flows: DataFrame, slotted: DataFrame, ip: str, interval_s: float, ttl_s: float, t0, prefix: str,
-    strict: bool = False, strategy: str = "interval",
+    strict: bool = False, strategy: str = "interval", width: float | None = None,
 ) -> DataFrame:
     """Left as-of join of one endpoint: adds ``<prefix>_{visible,age,conf,sources}``.
 
@@ -219,7 +227,7 @@ def asof_join(
     and joined back by equality; used for a zero poll interval, where a slot has no bound.
     ``strict`` hides a sighting whose poll time equals the flow's own time.
     """
-    width = slot_width(interval_s, ttl_s)
+    width = width or slot_width(interval_s, ttl_s)
     fslot = F.floor((F.col("ts") - _num(t0)) / width)
     if strategy == "merge":
         right = _merge_lookup(flows, slotted, ip, fslot, strict)
@@ -280,11 +288,13 @@ def enrich(
     one is joined by shuffle, where AQE splits addresses that own a large share of the flows.
     """
     strategy = strategy or ("merge" if interval_s <= 1e-9 else "interval")
-    slotted = cut(slotted_timeline(tl, interval_s, ttl_s, t0))
+    tl = cut(tl)
+    width = slot_width(interval_s, ttl_s, densest_value(tl, ttl_s, t0) if strategy == "interval" else None)
+    slotted = cut(slotted_timeline(tl, interval_s, ttl_s, t0, width))
     if strategy == "interval" and small_enough(slotted, broadcast_rows):
         slotted = F.broadcast(slotted)
-    j = asof_join(flows, slotted, "src_ip", interval_s, ttl_s, t0, "_src", strict, strategy)
-    j = asof_join(j, slotted, "dst_ip", interval_s, ttl_s, t0, "_dst", strict, strategy)
+    j = asof_join(flows, slotted, "src_ip", interval_s, ttl_s, t0, "_src", strict, strategy, width)
+    j = asof_join(j, slotted, "dst_ip", interval_s, ttl_s, t0, "_dst", strict, strategy, width)
     return with_features(j, flows.columns, half_life_s)
 
 

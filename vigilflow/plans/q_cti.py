@@ -359,3 +359,41 @@ def ft_rates(spark, sf):
     from ..sources.flows import derive
 
     return add_rates(derive(_enriched(spark, sf)))
+
+
+# ------------------------------------------------------------------ volume
+v.CTES["wide"] = ((), """
+select '172.16.' || ((l_partkey % 4000) // 256) || '.' || (l_partkey % 256) as dst_ip,
+ '10.1.' || ((l_suppkey % 500) // 256) || '.' || (l_suppkey % 256) as src_ip,
+ epoch(l_shipdate) + l_linenumber * 60.0 + (l_orderkey % 3600) as ts, cast(l_returnflag = 'R' as int) as label, l_quantity from lineitem""")
+v.CTES["wide_entries"] = (("wide",), """
+select dst_ip as value, ts, max(0.5 + l_quantity / 100) as confidence from wide where label = 1 and l_quantity >= 40 group by 1, 2""")
+
+
+@query("cti_enrich_volume", v.cte("wide_entries") + """,
+z as (select min(ts) as t0 from wide),
+tl as (select value, poll_t, arg_max(confidence, ts) as confidence from (
+ select e.*, t0 + ceil((ts - t0) / 300.0) * 300.0 as poll_t from wide_entries e, z) group by 1, 2)
+select f.label, count(*) as n, count(*) filter (f.ts - t.poll_t <= 604800) as matched,
+ round(sum(t.confidence) filter (f.ts - t.poll_t <= 604800), 3) as conf, sum(f.ts - t.poll_t) filter (f.ts - t.poll_t <= 604800) as age
+from wide f asof left join tl t on f.dst_ip = t.value and f.ts >= t.poll_t group by 1""")
+def cti_enrich_volume(spark, sf):
+    """One flow per line item; both endpoints are joined, only destinations carry indicators."""
+    li = table(spark, sf, "lineitem")
+    dst, src = F.col("l_partkey"), F.col("l_suppkey")
+    f = li.select(
+        F.concat(F.lit("172.16."), F.floor((dst % 4000) / 256), F.lit("."), dst % 256).alias("dst_ip"),
+        F.concat(F.lit("10.1."), F.floor((src % 500) / 256), F.lit("."), src % 256).alias("src_ip"),
+        (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 60.0 + F.col("l_orderkey") % 3600).alias("ts"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"), "l_quantity")
+    t0 = v.start(f)
+    s = f.where("label = 1 and l_quantity >= 40").groupBy(F.col("dst_ip").alias("value"), "ts").agg(
+        F.max(F.lit(0.5) + F.col("l_quantity") / 100).alias("conf")).select(
+        "value", "ts", "conf", F.lit(1).alias("sources"), F.lit(0).alias("role"), F.lit(0).alias("seq"), F.lit(0).alias("ord"))
+    e = cti.enrich(f, cti.timeline(s, DT, t0), DT, 604800.0, HALF, t0)
+    hit = F.col("ioc_dst_match") > 0
+    # the features hold single precision; the confidence is a multiple of 0.01
+    return e.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("matched"),
+        F.round(F.sum(F.when(hit, F.round(F.col("feed_confidence").cast("double"), 4))), 3).alias("conf"),
+        F.sum(F.when(hit, F.col("age_s"))).alias("age"))

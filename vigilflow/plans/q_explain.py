@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attack as at
 from ..operators import explain as ex
+from ..session import spread
 from . import views as v
 from .q_metrics import rounded
 from .registry import query, table
@@ -48,7 +49,7 @@ v.CTES["contrib"] = (("flows",), "select flow_id, i as pos, feature, shap from (
 
 
 def contrib(spark, sf):
-    f, fid = v.flows(spark, sf), F.col("flow_id")
+    f, fid = spread(v.flows(spark, sf)), F.col("flow_id")
     phi = F.array(*[((fid * (7 + 6 * i) + i * 13) % 101 - 60) / 100 for i in range(len(FEATS))])
     vals = F.array("sbytes", "dbytes", "dur", "Spkts", F.col("sbytes") / F.col("Spkts"), F.lit(0.0), F.lit(0.8), F.lit(1.0))
     d = f.select("*", phi.alias("phi"), vals.alias("vals"), (fid % 3 == 0).cast("double").alias("ioc_dst_match"), F.lit(0.0).alias("ioc_src_match"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..sources import feeds, flows as fl, sinks
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from . import views as v
 from .registry import query, table
 
@@ -127,7 +127,7 @@ def src_jsonl_flows(spark, sf):
                            F.col("state").alias("conn_state")))
     line = F.when(fid % 3 == 0, a).when((fid % 3 == 1) & (fid % 4 == 1), F.lit('{"src_ip": "1.2.3'))
     line = line.when(fid % 3 == 1, b).otherwise(c)
-    return native(fl.parse_jsonl(s.pinned(f, line.alias("value"), fid), keep=("flow_id",)))
+    return native(fl.parse_jsonl(s.pinned(spread(f), line.alias("value"), fid), keep=("flow_id",)))
 
 
 @query("src_csv_flows", native_sql(service="'-'"))
@@ -169,7 +169,7 @@ def src_zeek_flows(spark, sf):
                       "orig_pkts resp_pkts conn_state",
         "b/conn.log": "id.orig_h id.resp_h id.orig_p id.resp_p proto ts orig_bytes resp_bytes duration orig_pkts "
                       "resp_pkts service conn_state"}
-    lines = f.select(file.alias("file"), F.when(fid % 2 == 0, a).otherwise(b).alias("value"), fid)
+    lines = spread(f).select(file.alias("file"), F.when(fid % 2 == 0, a).otherwise(b).alias("value"), fid)
     names = f.select(file.alias("file")).distinct()
     fields = F.concat(F.lit("#fields\t"), F.replace(
         v._pick(F.col("file"), {"a/conn.log": head["a/conn.log"]}, head["b/conn.log"]), F.lit(" "), tab))
@@ -201,7 +201,7 @@ def src_eve_flows(spark, sf):
         F.when(net, "netflow").when(fid % 5 == 2, "dns").otherwise("flow").alias("event_type"), iso(F.col("ts") + 5).alias("timestamp"),
         "src_ip", "src_port", F.col("dst_ip").alias("dest_ip"), F.col("dst_port").alias("dest_port"), F.upper("proto").alias("proto"),
         F.when(F.col("service") == "-", "tls").otherwise(F.col("service")).alias("app_proto"), flow.alias("flow")))
-    return native(fl.parse_eve(s.pinned(f, line.alias("value"), fid), keep=("flow_id",)))
+    return native(fl.parse_eve(s.pinned(spread(f), line.alias("value"), fid), keep=("flow_id",)))
 
 
 @query("src_detect_format", """
@@ -288,7 +288,7 @@ def _plain_lines(spark, sf):
     ip = F.concat(F.lit("10.0."), F.floor(uid / 256), F.lit("."), uid % 256)
     line = (F.when(eid % 4 == 0, F.concat(ip, F.lit(","), eid % 12)).when(eid % 4 == 1, F.concat(ip, F.lit("\t"), eid % 12, F.lit(" seen")))
             .when(eid % 4 == 2, F.concat(F.lit(" "), ip)).otherwise("# comment"))
-    return e.select(line.alias("value"), eid.alias("line_no"),
+    return spread(e).select(line.alias("value"), eid.alias("line_no"),
                     v._pick(eid % 9, dict(enumerate(_NAMES)), "ipsum").alias("src"))
 
 

@@ -75,3 +75,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def parallelism(spark: SparkSession) -> int:
     """How many ranges ordered work is cut into; follows the session's shuffle width."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work at least one partition per core; a no-op for inputs that already have more."""
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

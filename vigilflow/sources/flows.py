@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as s
 from ..operators.splits import stratified_subsample
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 
 # ------------------------------------------------------------------ fixed values
 # Native sensor columns, in order.
@@ -210,7 +210,7 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     if fmt == "csv":
         return parse_csv(spark.read.csv(path, header=True))
     parser = {"zeek": parse_zeek, "eve": parse_eve, "jsonl": parse_jsonl}[fmt]
-    return parser(text_lines(spark, path))
+    return parser(spread(text_lines(spark, path)))
 
 
 def parse_unsw(raw: DataFrame) -> DataFrame:
