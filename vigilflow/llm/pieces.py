@@ -39,14 +39,17 @@ class Vocabulary:
     unknown: int
     out: list[bytes]  # what an id decodes to
     bpe: bool = True
-    longest: int = 0
     chars: frozenset = frozenset()
     _pairs: dict[int, bool] = field(default_factory=dict)
+    ends: dict[str, int] = field(default_factory=dict)  # every ending of a piece: the piece's id if it is one, else -1
 
     def __post_init__(self):
-        self.longest = max(map(len, self.ids), default=0)
+        self.ends = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         self.chars = frozenset(p for p in self.ids if len(p) == 1)
 
+    def __reduce__(self):  # tasks build the derived tables anew
+        return Vocabulary, (self.ids, self.scores, self.byte_ids, self.unknown, self.out, self.bpe)
+
     def merged(self, word: str) -> list[int]:
         """Merging, step by step: the highest-scored neighbours first, the leftmost of equals."""
         parts = list(word)
@@ -61,14 +64,11 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[p] for p in parts]
 
-    def follows(self, a: int | None, b: int, text: str) -> bool:
-        """Whether piece ``b`` may come after ``a`` (or first), ``text`` being their joined text."""
-        key = ((a + 1) << 32 if a is not None else 0) | b
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > 4 * CACHE:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(text) == ([b] if a is None else [a, b])
+    def follows(self, a: int, b: int, text: str) -> bool:
+        """Whether piece ``b`` may come after ``a`` (first, if that is -1), ``text`` being their joined text."""
+        if len(self._pairs) > 4 * CACHE:
+            self._pairs.clear()
+        known = self._pairs[a << 32 | b] = self.merged(text) == ([b] if a < 0 else [a, b])
         return known
 
 
@@ -94,8 +94,8 @@ def load(model_file: str, bpe: bool = True) -> Vocabulary:
 def viterbi(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[int, ...]]:
     """Ids of each distinct word; all its characters are in the vocabulary."""
     done: dict[str, tuple[int, ...]] = {}
-    get, follows, longest, bpe, scores = v.ids.get, v.follows, v.longest, v.bpe, v.scores
-    piece: list[int | None] = [None]  # best last piece of each prefix on the path
+    get, pair, follows, bpe, scores = v.ends.get, v._pairs.get, v.follows, v.bpe, v.scores
+    piece: list[int | None] = [-1]  # best last piece of each prefix on the path; None if it has no path
     start = [0]
     total = [0.0]
     before = ""
@@ -103,20 +103,24 @@ def viterbi(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[int, ...]]:
         if bpe and w.startswith(MARK + MARK):  # runs of marks have equal scores: only merging itself orders them
             done[w] = tuple(v.merged(w))
             continue
-        n, shared = len(w), 0
+        shared = 0
         for a, b in zip(before, w):
             if a != b:
                 break
             shared += 1
         del piece[shared + 1:], start[shared + 1:], total[shared + 1:]
-        for j in range(shared + 1, n + 1):
+        for j in range(shared + 1, len(w) + 1):
             best, at, most = None, 0, -np.inf
-            for i in range(max(0, j - longest), j):
+            for i in range(j - 1, -1, -1):
                 t = get(w[i:j])
-                if t is None or (i and piece[i] is None):
+                if t is None:  # no piece ends like this, so none that starts earlier does
+                    break
+                a = piece[i]
+                if t < 0 or a is None:
                     continue
                 if bpe:
-                    if follows(piece[i], t, w[start[i]:j]):
+                    known = pair(a << 32 | t)
+                    if known or known is None and follows(a, t, w[start[i]:j]):
                         best, at, most = t, i, total[i] + scores[t]
                         break
                 elif total[i] + scores[t] > most:
@@ -125,7 +129,7 @@ def viterbi(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[int, ...]]:
             start.append(at)
             total.append(most)
         before = w
-        path, j = [], n
+        path, j = [], len(w)
         while j:
             if piece[j] is None:
                 raise ValueError(f"no path through {w!r}")
@@ -177,6 +181,18 @@ class Encoder:
         return ids, ends
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(v: Vocabulary) -> Encoder:
+    """The worker's encoder for a vocabulary; what earlier tasks learned of its words stays useful."""
+    key = hash((v.bpe, frozenset(v.ids.items())))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(v)
+    return _ENCODERS[key]
+
+
 def decode(ids: Iterable[int], v: Vocabulary) -> str:
     """Text of the ids, without the space mark that encoding puts first."""
     return b"".join(map(v.out.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -189,7 +205,7 @@ def encode_decode(docs: DataFrame, v: Vocabulary, rows: int = 2000) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v)
+        encoder = encoder_of(v)
 
         def flush(doc_ids: list, batch: list[str]) -> pa.RecordBatch:
             ids, ends = encoder.encode(batch)
