@@ -88,7 +88,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = set()
     for m in RUN.finditer(text):
         v = m.group()
-        if any(c.isdigit() for c in v) or (v[1:] != v[1:].lower() and v != v.upper()):
+        if any(c.isdigit() for c in v) or (v[1:] != v[1:].lower() and v != v.upper()) or KEY_FORMAT.search(v):
             found.add(m.span())
     if "=" in text or ":" in text:
         found.update(m.span(1) for m in ASSIGNED.finditer(text))
