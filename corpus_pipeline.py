@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilflow.llm import minhash, mixing, pieces, quality, secrets
-from vigilflow.llm.common import store, table
-from vigilflow.session import configure
+from vigilflow.llm.common import prepare, store, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Public vocabulary on the test box; a parameter of the last stage's operator.
@@ -15,26 +14,31 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
+    prepare(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    prepare(spark)
     return minhash.deduplicate(docs).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in them replaced."""
+    prepare(spark)
     return secrets.redact(docs).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
+    prepare(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text of the mix."""
+    prepare(spark)
     return pieces.encode_decode(docs, pieces.load(MODEL))
 
 
@@ -50,7 +54,7 @@ ORACLE_SQL = None  # the trained stages have no SQL; tests hold each stage again
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents."""
-    configure(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)

@@ -60,7 +60,7 @@ class _Words(dict):
     """Hashes of words; forgets all when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -124,8 +124,8 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.iloc[at:at + 1000]
+            for at in range(0, len(whole), 500):
+                b = whole.iloc[at:at + 500]
                 sets = [shingles(t) for t in texts(b["text"])]
                 t = np.array([tokens(s) if len(s) else np.zeros(TOKENS, np.uint64) for s in sets]).reshape(len(b), TOKENS)
                 nodes = [np.unique(p) if len(s) else [] for p, s in zip(paths(t), sets)]

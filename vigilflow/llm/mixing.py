@@ -153,5 +153,7 @@ def decide(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with its columns as they are."""
     rows = store(sized(docs.select("doc_id", "source", "text")).select("doc_id", "_key", "_size", "_u"), "mix-rows")
-    got = copies(sized(docs), *rule(rows)).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # the row as one column, so that no name of the table can clash
+    whole = sized(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"))
+    got = copies(whole, *rule(rows)).where("_copies > 0")
+    return got.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

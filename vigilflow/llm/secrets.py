@@ -72,7 +72,8 @@ def learn_language(docs: DataFrame, max_docs: int = 4000, least: int = 3) -> Lan
         for b in batches:
             for t in texts(b["text"]):
                 n.update(w.lower() for w in WORDS.findall(t) if len(w) <= 24)
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
     drawn = docs.select("doc_id", "text").where(hash_share(F.col("doc_id"), docs.count(), max_docs, 5))
     rows = drawn.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
@@ -213,11 +214,13 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, path_col: str = "
     spans = find(docs, labelled, path_col).where("secret").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "end")), asc=False).alias("_spans"))
     spans = broadcast_if_small(store(spans, "secrets-spans").withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), 200_000)
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    # the row as one column, so that no name of the table can clash
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     # from the last span back, so that earlier positions stay right
     cut = F.aggregate("_spans", F.col("text"), lambda t, s: F.concat(
         F.substring(t, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substring(t, (s["end"] + 1).cast("int"), F.length(t))))
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    new = {"text": cut, "n_chars": F.length(cut).cast("long")}
+    columns = [F.when(F.col("_spans").isNotNull(), new[c]).otherwise(F.col("_row").getField(c)).alias(c) if c in new else F.col("_row").getField(c).alias(c)
+               for c in docs.columns]
+    return rows.select(*columns)
