@@ -223,8 +223,9 @@ def verdict_tally(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("attribution").isNotNull()).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def batch_numbers(flows: DataFrame, size: int, theta: float, warmup: int, window: int, order_key: str = "flow_id") -> DataFrame:
-    """Time-ordered batches of ``size`` rows over a window that shifts to the first alert when it holds none.
+def batch_numbers(flows: DataFrame, size: int, theta: float, warmup: int, window: int | None = None, order_key: str = "flow_id") -> DataFrame:
+    """Time-ordered batches of ``size`` rows: all of them, or those of a ``window`` of rows that shifts to the first alert when it
+    holds none.
 
     Warm-up batches and a ragged tail under half a batch are left out. Ranks are exact and distributed.
     """
@@ -232,9 +233,12 @@ def batch_numbers(flows: DataFrame, size: int, theta: float, warmup: int, window
 
     slotted = flows.withColumn("_slot", F.floor(F.col("ts") / 3600)).withColumn("_all", F.lit(1))
     r = ranked(slotted, ["_all"], "_slot", [F.col("ts"), F.col(order_key)], "_r").withColumn("_r", F.col("_r") - 1)
-    first_alert = r.where(F.col("score") >= theta).agg(F.min("_r")).scalar()
-    start = F.when(F.coalesce(first_alert, F.lit(0)) < window, 0).otherwise(first_alert)
-    w = r.withColumn("_p", F.col("_r") - start).where((F.col("_p") >= 0) & (F.col("_p") < window))
+    if window is None:
+        w = r.withColumn("_p", F.col("_r"))
+    else:
+        first_alert = r.where(F.col("score") >= theta).agg(F.min("_r")).scalar()
+        start = F.when(F.coalesce(first_alert, F.lit(0)) < window, 0).otherwise(first_alert)
+        w = r.withColumn("_p", F.col("_r") - start).where((F.col("_p") >= 0) & (F.col("_p") < window))
     w = w.withColumn("batch", F.floor(F.col("_p") / size))
     fill = w.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") >= theta).alias("alerts"),
                                   F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

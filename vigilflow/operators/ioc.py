@@ -9,6 +9,8 @@ from ..functions.scalars import pinned, strip
 from ..session import broadcast_if_small
 
 KEY = ("value", "ioc_type", "source")
+# Fixed value: spellings of md5, sha1 and sha256.
+HASH = r"^[0-9a-f]{32}$|^[0-9a-f]{40}$|^[0-9a-f]{64}$"
 COLUMNS = (*KEY, "provenance", "first_seen", "last_seen", "confidence", "tags", "sightings")
 
 
@@ -21,7 +23,7 @@ def classify(c) -> Column:
         .when(v.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), "ipv4")
         .when(v.contains("://") & tail.rlike("^[0-9a-f]{32,64}$"), "hash")
         .when(v.contains("://"), "url")
-        .when(v.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), "hash")
+        .when(v.rlike(HASH), "hash")
         .when(v.rlike(r"^([a-z0-9-]+\.)+[a-z]{2,}$"), "domain")
     )
 
@@ -42,7 +44,7 @@ def normalise(records: DataFrame) -> DataFrame:
         "first_seen": first_or_last,
         "last_seen": F.when(last <= 0, first_or_last).otherwise(last),
         "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence").cast("double"))),
-        "tags": F.substring(F.coalesce(F.col("tags"), F.lit("")), 1, 500),
+        "tags": F.coalesce(F.col("tags"), F.lit("")),
         "provenance": F.lit("live"),
         "sightings": F.coalesce(F.col("sightings"), F.lit(1)).cast("int"),
     }

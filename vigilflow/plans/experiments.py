@@ -93,11 +93,8 @@ def freshness(
     return flows.sparkSession.createDataFrame([tuple(r.values()) for r in rows], schema)
 
 
-def explain_alerts(model, design: DataFrame, features, theta: float, limit: int = 500, top_k: int = 3, seed: int = 42) -> DataFrame:
-    """Score, keep alerts, sample at most ``limit`` of them in hash order, attach reasons.
-
-    The limit is the size of the explained sample the operator is asked for, not a shortcut.
-    """
+def explain_alerts(model, design: DataFrame, features, theta: float, limit: int | None = None, top_k: int = 3, seed: int = 42) -> DataFrame:
+    """Score, keep alerts, attach reasons to all of them, or to a seeded sample of ``limit``."""
     p = ml.prepare(design, features, [c for c in design.columns if c in ("flow_id", "label", "attack_cat", "ts", *cti.FEATURES)])
     alerts = ml.score(model, p).where(F.col("score") >= theta)
     chosen = seeded_sample(alerts, limit, "flow_id", seed) if limit else alerts
@@ -106,8 +103,8 @@ def explain_alerts(model, design: DataFrame, features, theta: float, limit: int
     return ex.reason_codes(phi.withColumn("contribs", ex.contributions(features, "vals", "phi")), k=top_k)
 
 
-def stability(design: DataFrame, features, s: ml.Settings, sample: int = 800) -> DataFrame:
-    """Per fold and feature: mean absolute contribution on a sample of the fold's test rows."""
+def stability(design: DataFrame, features, s: ml.Settings, sample: int | None = None) -> DataFrame:
+    """Per fold and feature: mean absolute contribution over the fold's test rows, or a seeded sample of them."""
     from ..operators.splits import k_folds
 
     d = ml.prepare(cut(k_folds(design.where("split <> 'test'"), "flow_id", s.folds, s.seed)), features,
@@ -115,7 +112,8 @@ def stability(design: DataFrame, features, s: ml.Settings, sample: int = 800) ->
     rows = []
     for f in range(1, s.folds + 1):
         model = ml.fit(d.where((F.col("fold") != f) & (F.col("inner") >= 0.2)), ml.random_forest(s))
-        test = seeded_sample(d.where(F.col("fold") == f).select("flow_id", "features"), sample, "flow_id", s.seed + f)
+        test = d.where(F.col("fold") == f).select("flow_id", "features")
+        test = seeded_sample(test, sample, "flow_id", s.seed + f) if sample else test
         e = shap.explainer(shap.node_table(model, design.sparkSession), len(features))
         st = ex.strength(shap.explain(test, e), features)
         rows.append(cut(st.select(F.lit(f).alias("fold"), "feature", "strength")))

@@ -220,13 +220,11 @@ def dash_verdicts(spark, sf):
 
 
 @query("lat_batches", v.cte("scored") + """,
-r as (select *, row_number() over (order by ts, flow_id) - 1 as r from scored),
-s as (select case when coalesce(min(r) filter (score >= 0.02), 0) < 5000 then 0 else min(r) filter (score >= 0.02) end as start from r)
-select (r - start) // 64 as batch, count(*) as rows, count(*) filter (score >= 0.02) as alerts, min(ts) as first_ts, max(ts) as last_ts
-from r, s where r - start >= 0 and r - start < 5000 group by 1 having (r - start) // 64 >= 3 and count(*) >= 32""".replace(
-    "having (r - start) // 64 >= 3", "having batch >= 3"))
+r as (select *, (row_number() over (order by ts, flow_id) - 1) // 64 as batch from scored)
+select batch, count(*) as rows, count(*) filter (score >= 0.02) as alerts, min(ts) as first_ts, max(ts) as last_ts
+from r group by 1 having batch >= 3 and count(*) >= 32""")
 def lat_batches(spark, sf):
-    return al.batch_numbers(v.scored(spark, sf), 64, 0.02, 3, 5000)
+    return al.batch_numbers(v.scored(spark, sf), 64, 0.02, 3)
 
 
 @query("sort_time", v.cte("flows") + "select flow_id, ts, row_number() over (order by ts, flow_id) as pos from flows")

@@ -97,7 +97,7 @@ RAW = """raw as (select '  ' || value || ' ' as value, source,
 @query("ioc_normalise", v.cte("iocs") + "," + RAW + """
 select trim(value) as value, 'ipv4' as ioc_type, source, case when first_seen <= 0 then last_seen else first_seen end as first_seen,
  case when last_seen <= 0 then first_seen else last_seen end as last_seen,
- round(greatest(0.0, least(1.0, confidence)), 6) as confidence, length(substring(tags, 1, 500)) as tag_len, sightings
+ round(greatest(0.0, least(1.0, confidence)), 6) as confidence, length(tags) as tag_len, sightings
 from raw where value <> 'not an indicator'""")
 def ioc_normalise(spark, sf):
     i, seq = v.iocs(spark, sf), F.col("seq")
@@ -320,10 +320,10 @@ def set_intersect(spark, sf):
 
 
 @query("set_except", v.cte("flows") + """
-select src_ip as ip from flows where label = 0 except select src_ip from flows where label = 1""")
+select src_ip as ip from flows where label = 0 except select dst_ip from flows where label = 1 and dst_port % 2 = 0""")
 def set_except(spark, sf):
     f = v.flows(spark, sf)
-    return f.where("label = 0").select(F.col("src_ip").alias("ip")).subtract(f.where("label = 1").select("src_ip"))
+    return f.where("label = 0").select(F.col("src_ip").alias("ip")).subtract(f.where("label = 1 and dst_port % 2 = 0").select("dst_ip"))
 
 
 @query("set_union", v.cte("flows") + """
@@ -338,10 +338,10 @@ def set_union(spark, sf):
 
 
 @query("join_anti_benign", v.cte("flows") + """
-select flow_id, src_ip from flows where label = 0 and src_ip not in (select src_ip from flows where label = 1)""")
+select flow_id, src_ip from flows where label = 0 and src_ip not in (select dst_ip from flows where label = 1 and dst_port % 2 = 0)""")
 def join_anti_benign(spark, sf):
     f = v.flows(spark, sf)
-    return f.where("label = 0").join(f.where("label = 1").select("src_ip").distinct(), "src_ip", "left_anti").select(
+    return f.where("label = 0").join(f.where("label = 1 and dst_port % 2 = 0").select(F.col("dst_ip").alias("src_ip")).distinct(), "src_ip", "left_anti").select(
         "flow_id", "src_ip")
 
 

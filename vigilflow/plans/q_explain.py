@@ -101,9 +101,9 @@ def shap_strength(spark, sf):
 _TOP = "select fold, list(feature order by strength desc, feature)[1:{k}] as top from strength group by 1"
 
 
-@query("shap_top10", v.cte("strength") + "select fold, array_to_string(list(feature order by strength desc, feature)[1:5], ',') as top from strength group by 1")
+@query("shap_top10", v.cte("strength") + "select fold, array_to_string(list(feature order by strength desc, feature)[1:10], ',') as top from strength group by 1")
 def shap_top10(spark, sf):
-    return ex.top_features(_strength(spark, sf), 5).select("fold", F.array_join("top", ",").alias("top"))
+    return ex.top_features(_strength(spark, sf), 10).select("fold", F.array_join("top", ",").alias("top"))
 
 
 @query("shap_tactics", v.cte("dist") + "select fold, tactic, round(share, 8) as share from dist")

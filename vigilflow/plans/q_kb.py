@@ -123,7 +123,7 @@ v.CTES["kb1"] = (("kb0",), f"""
 select a.* exclude (aliases, sponsor, summary, src),
  list_filter(case when c.doc_no is null then aliases else {_fresh('aliases', '[c.alias, c.synonym]')} end, lambda x: not regexp_full_match(x, 'G[0-9]{{4}}')) as aliases,
  coalesce(a.sponsor, nullif(c.sponsor, '')) as sponsor, coalesce(c.sector, '') as sectors,
- case when length(c.description) > length(summary) then substring(c.description, 1, 1200) else summary end as summary,
+ case when length(c.description) > length(summary) then c.description else summary end as summary,
  case when length(c.description) > length(summary) then 'misp-galaxy' else src end as src
 from kb0 a left join (select id, arg_min(doc_no, pos) as doc_no from (
  select id, doc_no, pos from (select id, unnest(list_concat([name], aliases)) as n, generate_subscripts(list_concat([name], aliases), 1) as pos from kb0) t

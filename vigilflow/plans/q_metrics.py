@@ -1,5 +1,8 @@
 """Detection metrics, experiment summaries, sampling and splits."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
@@ -105,14 +108,14 @@ def lat_percentiles(spark, sf):
 
 
 @query("xfer_gap", v.cte("scored") + FOLDS + """,
-k as (select 'd' || ((fold + 1) // 2) as direction, case when fold % 2 = 1 then 'cross' else 'in_domain' end as kind, * from f where fold < 5),
+k as (select 'd' || ((fold + 1) // 2) as direction, case when fold % 2 = 1 then 'cross' else 'in_domain' end as kind, * from f),
 l as (unpivot k on recall, fpr, precision, pr_auc, roc_auc, f1 into name metric value value)
 select direction, metric, round(max(value) filter (kind = 'cross'), 6) as "cross", round(max(value) filter (kind = 'in_domain'), 6) as in_domain,
  round(max(value) filter (kind = 'in_domain') - max(value) filter (kind = 'cross'), 5) as gap from l group by all""")
 def xfer_gap(spark, sf):
-    """Folds stand in for the four evaluations of two directions."""
+    """Folds stand in for the evaluations of the directions; the last has no in-domain side."""
     r = rounded(m.metrics_at(v.scored(spark, sf), THETA, ["fold"]), *[n for n in m.NAMES if n not in ("pr_auc", "roc_auc")])
-    rows = r.where("fold < 5").select(
+    rows = r.select(
         F.concat(F.lit("d"), F.floor((F.col("fold") + 1) / 2)).alias("direction"),
         F.when(F.col("fold") % 2 == 1, "cross").otherwise("in_domain").alias("kind"), *m.NAMES)
     return rounded(rounded(m.transfer_gap(rows), "cross", "in_domain"), "gap", digits=5)
@@ -120,12 +123,14 @@ def xfer_gap(spark, sf):
 
 @query("prof_delta", v.cte("scored") + FOLDS + """,
 l as (unpivot (select fold, accuracy, recall, pr_auc, fpr from f) on accuracy, recall, pr_auc, fpr into name metric value value)
-select metric, round(case when metric = 'fpr' then b - a else round((b - a) * 100, 3) end, 5) as delta from (
- select metric, max(value) filter (fold = 1) as a, max(value) filter (fold = 2) as b from l group by 1)""")
+select cast(b.fold as int) as fold, metric, round(case when metric = 'fpr' then b.value - a.value else round((b.value - a.value) * 100, 3) end, 5) as delta
+from l b join (select metric, value from l where fold = 1) a using (metric) where b.fold > 1""")
 def prof_delta(spark, sf):
+    """Every other fold's profile against the first."""
     r = rounded(m.metrics_at(v.scored(spark, sf), THETA, ["fold"]), "accuracy", "recall", "fpr").withColumn(
         "profile", F.concat(F.lit("p"), "fold"))
-    return rounded(m.profile_delta(r, "p1", "p2"), "delta", digits=5)
+    rows = [m.profile_delta(r, "p1", f"p{f}").select(F.lit(f).alias("fold"), "metric", "delta") for f in range(2, 6)]
+    return rounded(reduce(DataFrame.unionByName, rows), "delta", digits=5)
 
 
 @query("ml_class_weight", v.cte("flows") + """

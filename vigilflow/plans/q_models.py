@@ -15,7 +15,7 @@ from .q_metrics import CONF, RATES, rounded
 from .q_sources import _dir
 from .registry import query, table
 
-S = ml.Settings(trees=10, max_depth=6, boost_rounds=5, folds=3)
+S = ml.Settings(trees=10, max_depth=6, boost_rounds=5, folds=5)
 
 
 def _design(spark, sf):
@@ -106,7 +106,7 @@ def shap_values(spark, sf):
 def explain_alerts(spark, sf):
     d, feats, _, _, p, model = _forest(spark, sf)
     theta = m.theta_of(ml.score(model, p.where("split = 'val'")).select("label", "score"), S.target_recall)
-    r = xp.explain_alerts(model, d.where("split = 'test'"), feats, theta, limit=300)
+    r = xp.explain_alerts(model, d.where("split = 'test'"), feats, theta)
     return r.select("flow_id", "label", "attack_cat", "ts", F.bround("score", 4).alias("score"), F.explode("reasons").alias("r")).select(
         "flow_id", "label", "attack_cat", "ts", "score", "r.*")
 
@@ -155,7 +155,9 @@ def exp_transfer(spark, sf):
              "cicids2017": ft.bridge(cic_like(e), "cicids2017", ("flow_id", "label"))}
     feats = [c for c in sides["unsw_nb15"].columns if c not in ("flow_id", "label")]
     rows = xp.transfer(sides, feats, S)
-    return m.transfer_gap(rows.where("kind <> 'cross_full'"))
+    gap = m.transfer_gap(rows.where("kind <> 'cross_full'"))
+    full = rows.where("kind = 'cross_full'").unpivot("direction", list(m.NAMES), "metric", "cross_full")
+    return gap.join(full, ["direction", "metric"], "left")
 
 
 @query("report_status", v.cte("scored") + f""",
@@ -171,7 +173,7 @@ def report_status(spark, sf):
 
 
 # the sweep's coverage side alone, which SQL can state
-_SWEEP = (5, 60, 1440)
+_SWEEP = (1, 5, 60, 360, 1440)
 
 
 def _cov_sql(minutes):

@@ -305,22 +305,21 @@ def feed_plainlist(spark, sf):
 
 
 @query("lim_cap", f"""
-select source, n, last_line from (
- select source, least(count(*), case source when 'ipsum' then 500 else 100 end) as n,
-  max(event_id) filter (r <= case source when 'ipsum' then 500 else 100 end) as last_line
- from (select *, row_number() over (partition by source order by event_id) as r from
-  (select event_id, {_SRC_SQL} as source from events where event_id % 4 <> 3)) group by source)""")
+select source, count(*) as n, count(*) filter (r <= 100) as first_100, max(event_id) filter (r <= 100) as last_line, sum(r) as numbers
+from (select *, row_number() over (partition by source order by event_id) as r from
+  (select event_id, {_SRC_SQL} as source from events where event_id % 4 <> 3)) group by source""")
 def lim_cap(spark, sf):
-    """The record cap of a list is a setting of the feed."""
-    caps = {k: (c, t, 500 if k == "ipsum" else 100) for k, (c, t, _) in feeds.PLAIN_LISTS.items()}
-    r = feeds.parse_plain(_plain_lines(spark, sf), F.col("src"), now=1, settings=caps)
-    return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last_line"))
+    """Records are numbered within their list; taking the first of them is left to the caller."""
+    r = feeds.record_numbers(feeds.parse_plain(_plain_lines(spark, sf), F.col("src"), now=1))
+    first = F.col("record_no") <= 100
+    return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("first_100"),
+                                   F.max(F.when(first, F.col("line_no"))).alias("last_line"), F.sum("record_no").alias("numbers"))
 
 
 @query("feed_otx", """
 select '10.0.' || (user_id // 256) || '.' || (user_id % 256) as value, 1700000000 + 60.0 * event_id as first_seen,
  case when event_id % 2 = 0 then 1700000000 + 60.0 * event_id else 1700000000 + 60.0 * event_id + 3600 end as last_seen,
- round(case when event_id % 3 = 0 then 0.005 else (event_id % 3) * 30 / 100.0 end, 6) as confidence, 't0,t1,t2,t3,t4,t5' as tags
+ round(case when event_id % 3 = 0 then 0.005 else (event_id % 3) * 30 / 100.0 end, 6) as confidence, 't0,t1,t2,t3,t4,t5,t6,t7' as tags
 from events""")
 def feed_otx(spark, sf):
     e, eid, uid = table(spark, sf, "events"), F.col("event_id"), F.col("user_id")

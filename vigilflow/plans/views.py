@@ -236,8 +236,7 @@ select id, trim(regexp_replace(concat_ws(' ', name, alias, origin, sector, nulli
 from actors""")
 CTES["counts"] = (("docs",), counts_cte("x", "docs", "id")[len("x as ("):-1])
 CTES["terms"] = (("counts",), """
-select term, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf from counts group by term
-order by sum(tf) desc, term limit 80000""")
+select term, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf from counts group by term""")
 CTES["postings"] = (("terms",), """
 select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from (
  select id, term, (1 + ln(tf)) * idf as w from counts join terms using (term))""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +55,12 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise once into reliable storage, so that later reads neither recompute nor drift."""
-    sc = df.sparkSession.sparkContext
-    root = shared_dir(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write once as Parquet in the shared folder and read back: later reads neither recompute nor drift, and they take
+    the columns and row groups they need."""
+    spark = df.sparkSession
+    path = shared_dir(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

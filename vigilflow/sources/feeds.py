@@ -20,7 +20,7 @@ from ..session import shared_dir
 # ------------------------------------------------------------------ fixed values
 THREATFOX_CONFIDENCE = {"low": 0.3, "medium": 0.6, "high": 0.9}
 
-# source: base confidence, tag, record cap
+# source: base confidence, tag, records that the publisher expects at most (parsing keeps all)
 PLAIN_LISTS = {
     "blocklist": (0.70, "fail2ban-aggregated attacker IPs", 60_000),
     "ipsum": (0.55, "aggregated multi-list malicious IPs (count = sightings)", 120_000),
@@ -120,12 +120,8 @@ def parse_feodo(lines: DataFrame, now=None, tag: str = "feodo-ip") -> DataFrame:
     return _records(rec.where(~F.col("value").contains("/")), "feodo", keep)
 
 
-def parse_plain(lines: DataFrame, source=None, now=None, settings=PLAIN_LISTS, slot_lines: int = 65_536) -> DataFrame:
-    """One indicator per line. ``source`` is a name, or a column holding one.
-
-    The record cap counts accepted records in line order; the count runs slot by slot, so one huge list
-    is not ranked by one task. Without ``line_no`` there is no line order, and no cap.
-    """
+def parse_plain(lines: DataFrame, source=None, now=None, settings=PLAIN_LISTS) -> DataFrame:
+    """One indicator per line, every line kept. ``source`` is a name, or a column holding one; a ``line_no`` is kept."""
     src = source if isinstance(source, Column) else F.lit(source)
     at = _polled(lines, now)
 
@@ -143,12 +139,16 @@ def parse_plain(lines: DataFrame, source=None, now=None, settings=PLAIN_LISTS, s
         .otherwise(setting(0)).alias("confidence"),
         setting(1).alias("tags"), F.coalesce(times, F.lit(1)).alias("sightings"),
     )
-    ok = normalise(rec)
-    if not extra:
-        return ok.select(*COLUMNS)
-    slotted = ok.withColumn("_slot", F.floor(F.col("line_no") / slot_lines))
-    capped = ranked(slotted, ["source"], "_slot", [F.col("line_no")], "_n").where(F.col("_n") <= setting(2))
-    return capped.select(*COLUMNS, *extra)
+    return normalise(rec).select(*COLUMNS, *extra)
+
+
+def record_numbers(records: DataFrame, slot_lines: int = 65_536) -> DataFrame:
+    """``record_no`` of each accepted record of a source in line order, for callers that take a list's first records.
+
+    The count runs slot by slot, so one huge list is not ranked by one task.
+    """
+    slotted = records.withColumn("_slot", F.floor(F.col("line_no") / slot_lines))
+    return ranked(slotted, ["source"], "_slot", [F.col("line_no")], "record_no").drop("_slot")
 
 
 OTX_SCHEMA = """struct<results:array<struct<created:string, modified:string, confidence:string, tags:array<string>,
@@ -156,7 +156,7 @@ OTX_SCHEMA = """struct<results:array<struct<created:string, modified:string, con
 
 
 def parse_otx(docs: DataFrame, now=None) -> DataFrame:
-    """Pulse pages as JSON documents; every indicator of every pulse, first six tags."""
+    """Pulse pages as JSON documents; every indicator of every pulse with all its tags."""
     p = docs.select(F.explode(F.from_json("value", OTX_SCHEMA)["results"]).alias("p"))
     created = F.coalesce(s.feed_epoch("p.created"), F.lit(0.0))
     conf = F.coalesce(F.nullif(s.number("p.confidence"), F.lit(0.0)), F.lit(0.5)) / 100.0
@@ -164,7 +164,7 @@ def parse_otx(docs: DataFrame, now=None) -> DataFrame:
         created.alias("first_seen"),
         F.coalesce(F.nullif(s.feed_epoch("p.modified"), F.lit(0.0)), created).alias("last_seen"),
         F.when(conf <= 0, 0.5).otherwise(conf).alias("confidence"),
-        F.array_join(F.slice(F.coalesce("p.tags", F.array().cast("array<string>")), 1, 6), ",").alias("tags"),
+        F.array_join(F.coalesce("p.tags", F.array().cast("array<string>")), ",").alias("tags"),
         F.explode("p.indicators.indicator").alias("value"),
     )
     return _records(rec, "otx")

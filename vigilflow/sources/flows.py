@@ -121,7 +121,7 @@ def parse_zeek(lines: DataFrame, file_col: str = "file", keep=()) -> DataFrame:
         lines.where(F.col("value").startswith("#fields"))
         .groupBy(file_col)
         .agg(F.max("value").alias("_h"))
-        .select(file_col, F.slice(F.split("_h", "\t"), 2, 10_000).alias("_f"))
+        .select(file_col, F.array_compact(F.transform(F.split("_h", "\t"), lambda x, i: F.when(i > 0, x))).alias("_f"))
     )
     body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     body = s.pinned(body.join(broadcast_if_small(head), file_col), *keep, "_f", F.split("value", "\t").alias("_p"))

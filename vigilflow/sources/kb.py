@@ -91,7 +91,7 @@ def drop_group_ids(aliases: Column) -> Column:
 
 def longer_summary(summary: Column, source: Column, text: Column, label: str) -> tuple[Column, Column]:
     better = F.length(text) > F.length(summary)
-    return F.when(better, F.substring(text, 1, 1200)).otherwise(summary), F.when(better, label).otherwise(source)
+    return F.when(better, text).otherwise(summary), F.when(better, label).otherwise(source)
 
 
 def merge_actors(actors: DataFrame, objects: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -64,10 +64,10 @@ def fan_out(sinks: dict[str, Sink]) -> Sink:
     return emit
 
 
-def syslog_line(payload: Column, at: Column, tag: str = "alert-score", priority: int = 134) -> Column:
-    """``<pri>time tag: json`` with the payload cut to 8000 characters, as the wire format asks."""
+def syslog_line(payload: Column, at: Column, tag: str = "alert-score", priority: int = 134, most: int = 8000) -> Column:
+    """``<pri>time tag: json`` with the payload cut to ``most`` characters, as receivers of the wire format ask."""
     return F.concat(F.lit(f"<{priority}>"), F.date_format(at, "MMM dd HH:mm:ss"), F.lit(f" {tag}: "),
-                    F.substring(payload, 1, 8000))
+                    F.substring(payload, 1, most))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, formats: Iterable[str] = ("json", "csv")) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -144,16 +144,19 @@ def current(spark: SparkSession, path: str, key: str = "start") -> DataFrame:
     return spark.read.parquet(path).groupBy(key).agg(F.max_by("n", "batch").alias("n"))
 
 
-def observed(stream: DataFrame, name: str = "flows") -> DataFrame:
-    """Running counters, published with every progress event."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("src_ip").isNull()).alias("rejected"))
+def counted(on_batch: BatchFn, path: str) -> BatchFn:
+    """Keep each micro-batch's counters in a table of its own number: nothing is lost however long a query runs, and a
+    repeated batch replaces its row. ``on_batch`` must read its rows; they are counted as it does."""
 
+    def run_counted(rows: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        on_batch(rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("src_ip").isNull()).alias("rejected")), batch_id)
+        n = seen.get
+        rows.sparkSession.createDataFrame([(n["rows"], n["rejected"])], "n bigint, rejected bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def counters(q: StreamingQuery, spark: SparkSession, name: str = "flows") -> DataFrame:
-    """Counters of a finished query, one row per micro-batch that read data."""
-    rows = []
-    for p in q.recentProgress:
-        seen = p["observedMetrics"].get(name)
-        if seen is not None:
-            rows.append((int(p["batchId"]), int(seen["rows"]), int(seen["rejected"])))
-    return spark.createDataFrame(rows, "batch bigint, n bigint, rejected bigint")
+    return run_counted
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of a query, one row per micro-batch that read data."""
+    return spark.read.parquet(path).where("n > 0").select(F.col("batch").cast("bigint").alias("batch"), "n", "rejected")
