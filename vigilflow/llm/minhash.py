@@ -9,8 +9,9 @@ level. ``TREES`` trees of ``DEPTH`` levels miss such a pair with probability 2e-
 Nodes are then compared:
 1. every document with the first one of its nodes; the closest by sketch is confirmed on full sets and joined;
 2. nodes whose documents now all belong to one component are done; what is left of larger ones branches on; small ones
-   are compared exhaustively by sketch (one byte per token) across components, first the closest pair of each two
-   components, then, with components joined again, all pairs still apart. Nodes that branching cannot make small are
+   are compared exhaustively by sketch (one byte per token) across components: twice the closest pair of every
+   component is confirmed and joins it, then every two components still apart that have a candidate pair are compared
+   by all their documents. Nodes that branching cannot make small are
    compared in blocks.
 Candidates are confirmed on full sets. Large groups of copies are thereby linked by stars, and the pairs inside a group
 are never listed; no pair of different components goes unconfirmed. The sketch leaves out pairs whose tokens agree so
@@ -42,6 +43,8 @@ AGREE = 74
 SMALL = 64  # documents of a node that are compared exhaustively
 LEVELS = 6  # further levels that a large node may branch
 BLOCK = 1024
+PART = 512  # documents of a component that meet others in one task
+ROUNDS = (True, True, False)  # twice each component's closest pair, then all pairs still apart
 IDS = 2_000_000  # document ids that may be broadcast
 _C = np.random.default_rng(20).integers(1, 1 << 63, TOKENS + WIDTH + 8, dtype=np.uint64) | np.uint64(1)
 FACTORS, PLACES, OTHER = _C[:TOKENS], _C[TOKENS:TOKENS + WIDTH], _C[TOKENS + WIDTH:]
@@ -156,10 +159,8 @@ def _sizes_allow(a: str, b: str):
     return (100 * F.least(a, b) >= 75 * F.greatest(a, b))
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``reps`` rows whose full sets, taken from the texts again, are similar enough."""
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    wanted = store(reps.select("rid", "doc_id", "k1", "k2").join(ids, "rid"), "minhash-wanted")
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rid, set) of the rows of ``wanted`` (rid, doc_id, k1, k2), from the texts."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -167,18 +168,25 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             same = [set_key(s) == (x, y) for s, x, y in zip(got, b["k1"], b["k2"])]  # an id may have other texts too
             yield pd.DataFrame({"rid": b["rid"], "set": [s.tobytes() for s in got]})[same]
 
-    text = docs.select("doc_id", "text").join(broadcast_if_small(wanted, IDS), "doc_id")
-    full = store(text.select("rid", "k1", "k2", "text").mapInPandas(sets, "rid long, set binary"), "minhash-sets")
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select("rid", "doc_id", "k1", "k2"), IDS), "doc_id")
+    found = rows.select("rid", "k1", "k2", "text").mapInPandas(sets, "rid long, set binary")
+    return store(found.dropDuplicates(["rid"]), "minhash-sets")
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``reps`` rows whose full sets, taken from the texts again, are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    full = _sets(store(reps.select("rid", "doc_id", "k1", "k2").join(ids, "rid"), "minhash-wanted"), docs)
     # the side with many partners first: its rows are still short then
     p = pairs.join(full.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b")
-    return store(p.where(F.pandas_udf(linked, "boolean")("sa", "sb")).select("a", "b").distinct(), "minhash-linked")
+    return store(p.where(F.pandas_udf(linked, "boolean")("sa", "sb")).select(*pairs.columns), "minhash-linked")
 
 
 def _compare(rows: pd.DataFrame, group: np.ndarray, best: bool) -> pd.DataFrame:
-    """Candidate pairs of different components within runs of ``group``; with ``best`` the closest of each two
-    components in a group only."""
+    """Candidate pairs of different components within runs of ``group``; with ``best`` the closest of each component in
+    a group, otherwise any one of each two components."""
     sk = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), TOKENS)
-    rid, n, color = rows["rid"].to_numpy(), rows["n"].to_numpy(), rows["color"].to_numpy()
+    rid, n, color = (rows[c].to_numpy() for c in ("rid", "n", "color"))
     out = []
     for k in range(1, len(rows)):
         i = np.flatnonzero(group[:-k] == group[k:])
@@ -198,8 +206,11 @@ def _pairs(out: list[np.ndarray], best: bool) -> pd.DataFrame:
     flip = got["ca"] > got["cb"]
     got.loc[flip, ["a", "b", "ca", "cb"]] = got.loc[flip, ["b", "a", "cb", "ca"]].to_numpy()
     if best:
-        got = got.sort_values(["same", "a", "b"], ascending=[False, True, True]).drop_duplicates(["g", "ca", "cb"])
-    return got.drop(columns="g").astype("int64")
+        sides = pd.concat([got.assign(side=got["ca"]), got.assign(side=got["cb"])])
+        got = sides.sort_values(["same", "a", "b"], ascending=[False, True, True]).drop_duplicates(["g", "side"]).drop_duplicates(["g", "a", "b"])
+    else:
+        got = got.drop_duplicates(["ca", "cb"])
+    return got[["a", "b", "ca", "cb", "same"]].astype("int64")
 
 
 PAIRS = "a long, b long, ca long, cb long, same long"
@@ -252,13 +263,13 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "node")
 
 
-def across(shared: DataFrame, reps: DataFrame, comp: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) between components, over all nodes."""
-    colored = shared.join(comp.select(F.col("node").alias("rid"), "component"), "rid", "left").select(
-        "node", "rid", "n", F.coalesce("component", "rid").alias("color"))
+def mixed_nodes(shared: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, rid, n, color, sketch, c) that hold more than one component: small ones, after branching on what is
+    large, and those that stay large."""
+    colored = shared.join(comp.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
+        "node", "rid", "n", F.coalesce("root", "rid").alias("color"))
     rows = store(_mixed(colored).join(reps.select("rid", "sketch"), "rid"), "minhash-mixed")
-    got = [_small(rows.where(F.col("c") <= SMALL), best)]
-    large = rows.where(F.col("c") > SMALL)
+    columns = ["node", "rid", "n", "color", "sketch", "c"]
 
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -267,19 +278,82 @@ def across(shared: DataFrame, reps: DataFrame, comp: DataFrame, best: bool) -> D
                 node, row = branch(b["node"].to_numpy().view(np.uint64), np.arange(len(b)), lambda r, i: sk[r, i].astype(np.uint64))
                 yield b.iloc[row].assign(node=node.view(np.int64))[["node", "rid", "n", "color", "sketch"]]
 
+    small, large = rows.where(F.col("c") <= SMALL).select(*columns), rows.where(F.col("c") > SMALL).select(*columns)
     for _ in range(LEVELS):
         if large.isEmpty():
             break
         rows = store(_mixed(large.mapInPandas(deeper, "node long, rid long, n long, color long, sketch binary").distinct()), "minhash-deeper")
-        got.append(_small(rows.where(F.col("c") <= SMALL), best))
-        large = rows.where(F.col("c") > SMALL)
-    got.append(_blocks(large, best))
-    pairs = got[0]
-    for g in got[1:]:
-        pairs = pairs.unionByName(g)
+        small, large = small.unionByName(rows.where(F.col("c") <= SMALL).select(*columns)), rows.where(F.col("c") > SMALL).select(*columns)
+    return small, large
+
+
+def across(small: DataFrame, large: DataFrame, best: bool) -> DataFrame:
+    """Pairs of components (ca, cb) with a candidate pair in these nodes. With ``best`` each component's closest only,
+    and the documents (a, b) of that."""
+    pairs = _small(small, best)
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_blocks(large, best))
     if best:
-        return store(pairs.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("same", -F.col("a"), -F.col("b"))).alias("p")).select("p.*"), "minhash-across")
-    return store(pairs.select("a", "b").distinct(), "minhash-across")
+        closest = F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("same", -F.col("a"), -F.col("b")))
+        sides = pairs.select("*", F.explode(F.array("ca", "cb")).alias("side"))
+        return store(sides.groupBy("side").agg(closest.alias("p")).select("p.*").distinct(), "minhash-across")
+    return store(pairs.select("ca", "cb").distinct(), "minhash-across")
+
+
+def between(pairs: DataFrame, reps: DataFrame, color: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (ca, cb) of components that have a link, from all their documents; ``color`` has (rid, color).
+
+    The larger component of a pair is cut into parts of ``PART`` documents. Every part meets the documents of all its
+    smaller partners, ``PART`` of them in a task, so that a set travels once for each part and not for each pair.
+    """
+    ends = pairs.select(F.explode(F.array("ca", "cb")).alias("color")).distinct()
+    inside = reps.select("rid", "doc_id", "k1", "k2", "n", "sketch").join(color, "rid", "left").withColumn("color", F.coalesce("color", "rid")).join(ends, "color")
+    inside = store(inside, "minhash-between")
+    full = inside.join(_sets(inside, docs), "rid").select("color", "rid", "n", "sketch", "set")
+    full = store(full, "minhash-between-sets")
+    size = full.groupBy("color").agg(F.count("*").alias("size"))
+    p = pairs.join(size.select(F.col("color").alias("ca"), F.col("size").alias("sa")), "ca").join(size.select(F.col("color").alias("cb"), F.col("size").alias("sb")), "cb")
+    first = F.col("sa") >= F.col("sb")
+    p = p.select(F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("low"),
+                 F.ceil(F.greatest("sa", "sb") / PART).cast("int").alias("parts"), F.least("sa", "sb").alias("few"))
+    p = store(p, "minhash-between-pairs")
+    rounds = p.groupBy("big").agg(F.max("parts").alias("parts"), F.ceil(F.sum("few") / PART).cast("int").alias("rounds"))
+    left = full.withColumnRenamed("color", "big").join(rounds, "big").select(
+        "big", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), "n", "sketch", "set")
+    right = full.withColumnRenamed("color", "low").join(p.select("big", "low").join(rounds, "big"), "low").select(
+        "big", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("rid"), F.col("rounds")).cast("int").alias("round"), "low", F.col("n").alias("m"), F.col("sketch").alias("x"), F.col("set").alias("raw"))
+
+    def meet(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        if len(l) and len(r):
+            sk = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), TOKENS) for c in (l["sketch"], r["x"])]
+            n = l["n"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in l["set"]]
+            for low, m, x, raw in zip(r["low"], r["m"], sk[1], r["raw"]):
+                if low in found:
+                    continue
+                same = (sk[0] == x).sum(1)
+                ok = np.flatnonzero((same >= AGREE) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m)))
+                mine = np.frombuffer(raw, np.uint64)
+                for i in ok[np.argsort(-same[ok], kind="stable")]:
+                    both = len(np.intersect1d(sets[i], mine, assume_unique=True))
+                    if 100 * both >= 75 * (len(mine) + len(sets[i]) - both):
+                        found.add(low)
+                        break
+        return pd.DataFrame({"a": [key[0]] * len(found), "b": sorted(found)})
+
+    keys = ["big", "part", "round"]
+    return store(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(meet, "a long, b long").distinct(), "minhash-between-links")
+
+
+def roots(stars: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) that give every b one smaller a: each node jumps to the root of its root until
+    none moves, twice as far every round."""
+    p = store(stars.select(F.col("b").alias("node"), F.col("a").alias("root"), F.lit(True).alias("moved")), "minhash-roots")
+    while not p.where("moved").isEmpty():
+        up = p.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        p = store(p.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "minhash-roots")
+    return p.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,18 +372,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = stars.join(sk.withColumnRenamed("sketch", "x"), "rid").join(sk.select(F.col("rid").alias("head"), F.col("sketch").alias("y")), "head")
     near = near.withColumn("same", F.pandas_udf(agreement, "int")("x", "y")).where(F.col("same") >= AGREE)
     closest = near.groupBy("rid").agg(F.max_by("head", F.struct("same", -F.col("head"))).alias("a")).select("a", F.col("rid").alias("b"))
-    edges = confirm(store(closest, "minhash-stars"), reps, docs)
-    comp = components(edges)
-    for best in (True, False):
-        pairs = across(shared, reps, comp, best)
+    comp = roots(confirm(store(closest, "minhash-stars"), reps, docs))
+
+    # then between the components that this leaves
+    small, large = mixed_nodes(shared, reps, comp)
+    comp = comp.select(F.col("node").alias("rid"), F.col("root").alias("color"))
+    for best in ROUNDS:
+        pairs = across(small, large, best)
         if pairs.isEmpty():
             break
-        more = confirm(pairs, reps, docs)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            comp = components(edges)
-
-    named = reps.select("rid", "k1", "k2", "doc_id").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        found = confirm(pairs, reps, docs).select(F.col("ca").alias("a"), F.col("cb").alias("b")) if best else between(pairs, reps, comp, docs)
+        if found.isEmpty():
+            continue
+        merged = store(components(found).withColumnsRenamed({"node": "color", "component": "whole"}), "minhash-merged")
+        now = broadcast_if_small(merged, IDS)
+        small, large = (d.join(now, "color", "left").withColumn("color", F.coalesce("whole", "color")).drop("whole") for d in (small, large))
+        # documents that were a component of their own get a row
+        known = comp.join(now, "color", "left").select("rid", F.coalesce("whole", "color").alias("color"))
+        alone = merged.select(F.col("color").alias("rid"), F.col("whole").alias("color")).join(comp.select("rid"), "rid", "left_anti")
+        comp = store(known.unionByName(alone), "minhash-components")
+
+    named = reps.select("rid", "k1", "k2", "doc_id").join(comp, "rid", "left").withColumn("component", F.coalesce("color", "rid")).drop("color")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("k1", "k2", "component_id", F.lit(True).alias("has"))
     own = F.when(F.col("n") > 0, F.col("component_id"))
