@@ -229,10 +229,10 @@ def batch_numbers(flows: DataFrame, size: int, theta: float, warmup: int, window
 
     Warm-up batches and a ragged tail under half a batch are left out. Ranks are exact and distributed.
     """
-    from .ranks import ranked
+    from .ranks import RANGE, ranked, with_ranges
 
-    slotted = flows.withColumn("_slot", F.floor(F.col("ts") / 3600)).withColumn("_all", F.lit(1))
-    r = ranked(slotted, ["_all"], "_slot", [F.col("ts"), F.col(order_key)], "_r").withColumn("_r", F.col("_r") - 1)
+    slotted = with_ranges(flows.withColumn("_all", F.lit(1)), "ts")
+    r = ranked(slotted, ["_all"], RANGE, [F.col("ts"), F.col(order_key)], "_r").withColumn("_r", F.col("_r") - 1)
     if window is None:
         w = r.withColumn("_p", F.col("_r"))
     else:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,10 @@ def tree_stats(nodes: DataFrame) -> DataFrame:
     child = nodes.select("tree", F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("parent")).where("node >= 0")
     level = nodes.where("node = 0").select("tree", "node")
     depths, depth = level.select("tree", F.lit(0).alias("depth")), 0
-    links = child.select("tree", F.col("parent"), "node").persist()
+    links = cut(child.select("tree", F.col("parent"), "node"))
     while True:
-        level = links.join(level.withColumnRenamed("node", "parent"), ["tree", "parent"]).select("tree", "node").persist()
+        level = links.join(level.withColumnRenamed("node", "parent"), ["tree", "parent"]).select("tree", "node")
+        level = cut(level)
         if level.isEmpty():
             break
         depth += 1

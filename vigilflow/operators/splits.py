@@ -6,6 +6,7 @@ class that holds nearly all rows is still ranked by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,14 @@ def hashed(df: DataFrame, key, seed: int, digits: int = 2) -> DataFrame:
     return df.withColumn(_HASH, h).withColumn(_SLOT, F.substring(_HASH, 1, digits))
 
 
-def class_rank(df: DataFrame, key, seed: int, by: Sequence[str] = ("label",), digits: int = 2) -> DataFrame:
+def slot_digits(rows: int, rows_per_slot: int = 1_000_000) -> int:
+    """Leading hex digits that cut so many rows of one class into slots a task can sort."""
+    return max(2, math.ceil(math.log(max(1, rows) / rows_per_slot, 16)))
+
+
+def class_rank(df: DataFrame, key, seed: int, by: Sequence[str] = ("label",), digits: int | None = None) -> DataFrame:
     """Add ``_rank`` (1..n within the class, hash order) and ``_size`` (rows of the class)."""
+    digits = slot_digits(df.count()) if digits is None else digits
     r = ranked(hashed(df, key, seed, digits), list(by), _SLOT, [F.col(_HASH)], _RANK).drop(_SLOT)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_SIZE))
     # one row per class

@@ -230,7 +230,7 @@ def lat_batches(spark, sf):
 @query("sort_time", v.cte("flows") + "select flow_id, ts, row_number() over (order by ts, flow_id) as pos from flows")
 def sort_time(spark, sf):
     """Position in stable time order."""
-    from ..operators.ranks import ranked
+    from ..operators.ranks import RANGE, ranked, with_ranges
 
-    f = v.flows(spark, sf).select("flow_id", "ts", F.floor(F.col("ts") / 3600).alias("_slot"), F.lit(1).alias("_all"))
-    return ranked(f, ["_all"], "_slot", [F.col("ts"), F.col("flow_id")], "pos").select("flow_id", "ts", "pos")
+    f = with_ranges(v.flows(spark, sf).select("flow_id", "ts", F.lit(1).alias("_all")), "ts")
+    return ranked(f, ["_all"], RANGE, [F.col("ts"), F.col("flow_id")], "pos").select("flow_id", "ts", "pos")

@@ -267,7 +267,7 @@ def feed_threatfox(spark, sf):
 with e as (select *, '10.0.' || (user_id // 256) || '.' || (user_id % 256) as ip from events)
 select case when event_id % 5 = 4 then 'c2-' || (event_id % 10) || '.example.org' else ip end as value,
  case when event_id % 5 = 4 then 'domain' else 'ipv4' end as ioc_type,
- case when event_id % 5 = 1 then 'note ' || event_type else 'feodo-ip' end as tags, 0.8 as confidence, count(*) as n
+ case event_id % 5 when 1 then 'note ' || event_type when 4 then 'feodo-dga' else 'feodo-ip' end as tags, 0.8 as confidence, count(*) as n
 from e where event_id % 5 in (0, 1, 4) group by all""")
 def feed_feodo(spark, sf):
     e, eid, uid = table(spark, sf, "events"), F.col("event_id"), F.col("user_id")
@@ -275,7 +275,8 @@ def feed_feodo(spark, sf):
     line = (F.when(eid % 5 == 0, F.concat(F.lit("  "), ip)).when(eid % 5 == 1, F.concat(ip, F.lit("  # note "), "event_type"))
             .when(eid % 5 == 2, F.concat(ip, F.lit("/24"))).when(eid % 5 == 3, F.concat(F.lit("# "), ip))
             .otherwise(F.concat(F.lit("c2-"), eid % 10, F.lit(".example.org"))))
-    r = feeds.parse_feodo(e.select(line.alias("value")), now=1700000000)
+    lines = e.select(line.alias("value"), (eid % 5 == 4).alias("domains"))
+    r = feeds.parse_all({"feodo": lines.where("not domains").select("value"), "feodo-dga": lines.where("domains").select("value")}, now=1700000000)
     return r.groupBy("value", "ioc_type", "tags", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -109,7 +109,8 @@ def _polled(lines: DataFrame, now) -> Column:
 
 
 def parse_feodo(lines: DataFrame, now=None, tag: str = "feodo-ip") -> DataFrame:
-    """Address or domain per line, comment tail as tag; networks are skipped."""
+    """Address or domain per line, comment tail as tag; networks are skipped. The list of generated domains has a tag
+    of its own (:func:`parse_feodo_domains`)."""
     keep, at = _keep(lines), _polled(lines, now)
     body = lines.where(~F.col("value").startswith("#") & F.col("value").rlike(FEODO_LINE))
     rec = body.select(
@@ -120,6 +121,10 @@ def parse_feodo(lines: DataFrame, now=None, tag: str = "feodo-ip") -> DataFrame:
     return _records(rec.where(~F.col("value").contains("/")), "feodo", keep)
 
 
+def parse_feodo_domains(lines: DataFrame, now=None) -> DataFrame:
+    return parse_feodo(lines, now, "feodo-dga")
+
+
 def parse_plain(lines: DataFrame, source=None, now=None, settings=PLAIN_LISTS) -> DataFrame:
     """One indicator per line, every line kept. ``source`` is a name, or a column holding one; a ``line_no`` is kept."""
     src = source if isinstance(source, Column) else F.lit(source)
@@ -186,7 +191,7 @@ def parse_misp(docs: DataFrame, now=None) -> DataFrame:
 
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {
-    "urlhaus": parse_urlhaus, "threatfox": parse_threatfox, "feodo": parse_feodo, "otx": parse_otx,
+    "urlhaus": parse_urlhaus, "threatfox": parse_threatfox, "feodo": parse_feodo, "feodo-dga": parse_feodo_domains, "otx": parse_otx,
     "misp": parse_misp,
     **{name: (lambda lines, now=None, _n=name: parse_plain(lines, _n, now)) for name in PLAIN_LISTS},
 }

@@ -32,6 +32,17 @@ def expired_days(alerts: DataFrame, keep: int) -> DataFrame:
     return days.join(days.orderBy(F.col("day").desc()).limit(keep), "day", "left_anti")
 
 
+def delete_expired(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Delete the ``day=`` folders of a JSON sink beyond the newest ``keep``; returns their days."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted((s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("day=")), reverse=True)
+    for d in days[keep:]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, d), True)
+    return [d[len("day="):] for d in days[keep:]]
+
+
 def retained(alerts: DataFrame, keep: int) -> DataFrame:
     """Alerts of the newest ``keep`` days."""
     newest = alerts.select("day").distinct().orderBy(F.col("day").desc()).limit(keep)
@@ -43,7 +54,8 @@ def read_alerts(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def fan_out(sinks: dict[str, Sink]) -> Sink:
-    """Emit to every sink; one that fails is counted and never stops the rest.
+    """Emit to every sink; one that fails is counted and never stops the rest. When none takes the batch, the last
+    failure is raised, so that the batch is not taken for done.
 
     The returned function carries ``errors``, a dict of counts by sink name.
     """
@@ -51,12 +63,17 @@ def fan_out(sinks: dict[str, Sink]) -> Sink:
 
     def emit(df: DataFrame, batch_id: int) -> None:
         kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        taken, last = 0, None
         try:
             for name, sink in sinks.items():
                 try:
                     sink(kept, batch_id)
-                except Exception:  # noqa: BLE001 - a sink must not stop scoring
+                    taken += 1
+                except Exception as exc:  # noqa: BLE001 - a sink must not stop scoring
                     errors[name] += 1
+                    last = exc
+            if last is not None and not taken:
+                raise last
         finally:
             kept.unpersist()
 
