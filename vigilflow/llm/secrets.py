@@ -6,8 +6,8 @@ between them, how likely its letter pairs are in the corpus's words, how much of
 and the words around it. A random forest, trained on labelled findings, says which candidates are secrets.
 
 Labelled findings are a table (doc_id, start, end, label). ``marked`` makes one from formats alone where no hand-made
-labels exist: fixed key formats and random-looking values that are assigned to a credential's name count as secrets;
-numbers, words, addresses, paths and placeholders do not.
+labels exist: fixed key formats, signed tokens, private key blocks and random-looking values that are assigned to a
+credential's name, simple or compound (``db_password``, ``clientSecret``), count as secrets; numbers, words, addresses, paths and placeholders do not.
 
 Defined cases: null counts as empty; a null path is ""; starts and ends are code points, from 0; texts are read whole
 and every candidate is a row, overlapping ones once; repeated rows have rows each; labels of one class only give every
@@ -33,19 +33,28 @@ from ..session import broadcast_if_small
 from .common import bucket, hash_share, store, texts
 
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
-ASSIGNED = re.compile(r"\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:api|access|auth|private|secret)[_-]?key|bearer|authorization)\b[\"']?\s*(?:[:=]|=>)\s*[\"']?([^\s\"'<>]{6,})", re.I)
-BEFORE = re.compile(r"([A-Za-z_\-]+)[\"']?\s*([:=]|=>)?\s*[\"']?$")
+SIGN = re.compile(r"=>|[:=]{1,2}")
+VALUE = re.compile(r"\s*[\"']?(?:(?:bearer|basic|token)\s+)?([^\s\"'<>]{6,})", re.I)
+BEFORE = re.compile(r"([A-Za-z_\-][A-Za-z0-9_\-]*)[\"']?\s*(?:([:=]{1,2}|=>)\s*[\"']?(?:(?:bearer|basic|token)\s+)?|[\"']?)$", re.I)
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 WORDS = re.compile(r"[A-Za-z]+")
 AROUND = 48  # characters on each side that are searched for neighbouring words
 CREDENTIAL = frozenset("password passwd passphrase pwd pass secret token key apikey api auth credential credentials bearer authorization login aws private access".split())
+# A compound name is a credential's by one of these, or by "key" at its end unless what comes before says otherwise.
+DECISIVE = frozenset("password passwd passphrase pwd pass secret secrets token apikey auth credential credentials bearer authorization".split())
+GLUED = ("password", "passwd", "passphrase", "secret", "token", "apikey", "accesskey", "secretkey", "privatekey", "authkey")
+NO_SECRET_KEY = frozenset("primary foreign public sort partition cache index unique row group shard join lookup map object idempotency".split())
 FAKE = frozenset("example sample test dummy fake placeholder changeme your xxx todo foo bar demo mock".split())
 HARMLESS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid guid id card number phone isbn order invoice version build mail email http https www url".split())
 PATH_TEST = frozenset("test tests example examples sample samples doc docs fixture fixtures mock spec demo".split())
 PATH_CONFIG = frozenset("env config conf ini yml yaml properties settings secrets credentials key pem".split())
-KEY_FORMAT = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20}")
+KEY_FORMAT = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20})(?![A-Za-z0-9])")
+JWT = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
+# Up to its end mark, or as far as key lines go where the text is cut off.
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----)){32,20000}-----END [A-Z0-9 ]*-----|(?:(?:\s|\\n)*[A-Za-z0-9+/=]{16,})+)")
 HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
 CLASSES = 5  # lower, upper, digit, mark, end
-N_FEATURES = 12 + CLASSES * CLASSES + 12
+N_FEATURES = 12 + CLASSES * CLASSES + 13
 
 
 @dataclass
@@ -84,18 +93,37 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
+def credential_name(name: str) -> bool:
+    """Whether a name, cut at marks and changes of case, is that of a credential."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if not parts or parts[-1] in HARMLESS:
+        return False
+    if DECISIVE.intersection(parts) or parts[-1].endswith(GLUED):
+        return True
+    return len(parts) > 1 and parts[-1] in ("key", "keys") and not NO_SECRET_KEY.intersection(parts)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that might be secrets, in order, none inside another."""
+    """Spans that might be secrets, in order; overlapping ones are one."""
     found = set()
     for m in RUN.finditer(text):
         v = m.group()
         if any(c.isdigit() for c in v) or (v[1:] != v[1:].lower() and v != v.upper()) or KEY_FORMAT.search(v):
             found.add(m.span())
-    if "=" in text or ":" in text:
-        found.update(m.span(1) for m in ASSIGNED.finditer(text))
+    for m in SIGN.finditer(text):
+        name = BEFORE.search(text[max(0, m.start() - AROUND):m.start()])
+        value = VALUE.match(text, m.end()) if name and not name[2] and credential_name(name[1]) else None
+        if value:
+            found.add(value.span(1))
+    if "eyJ" in text:
+        found.update(m.span() for m in JWT.finditer(text))
+    if "PRIVATE KEY" in text:
+        found.update(m.span() for m in PEM.finditer(text))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if not out or b > out[-1][1]:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
             out.append((a, b))
     return out
 
@@ -119,7 +147,7 @@ def context(text: str, a: int, b: int) -> tuple[str, str, list[str]]:
     left, right = text[max(0, a - AROUND):a], text[b:b + AROUND]
     m = BEFORE.search(left)
     words = [w.lower() for w in (*WORDS.findall(left)[-4:], *WORDS.findall(right)[:4])]
-    return (m[1].lower() if m else ""), (m[2] or "" if m else ""), words
+    return (m[1] if m else ""), (m[2] or "" if m else ""), words
 
 
 def features(text: str, a: int, b: int, path: str, lang: Language) -> list[float]:
@@ -140,7 +168,7 @@ def features(text: str, a: int, b: int, path: str, lang: Language) -> list[float
         n, math.log(n), entropy, len(counts) / n, *share,
         float(np.mean([lang.pairs[p] for p in letters])) if letters else 0.0, len(letters) / n, _coverage(v, lang.words), float(HEX.fullmatch(v) is not None),
         *(steps / (n + 1)).ravel(),
-        float(name in CREDENTIAL), float(sign != ""), float(a > 0 and text[a - 1] in "\"'"), float(b < len(text) and text[b] in "\"'"),
+        float(name.lower() in CREDENTIAL or credential_name(name)), float(key_like(v)), float(sign != ""), float(a > 0 and text[a - 1] in "\"'"), float(b < len(text) and text[b] in "\"'"),
         float(b < len(text) and text[b] == "@" or a > 0 and text[a - 1] in "@./"), float(bool(near & CREDENTIAL)), float(bool(near & FAKE)), float(bool(near & HARMLESS)),
         float(bool(parts & PATH_TEST)), float(bool(parts & PATH_CONFIG)), float(len(path)), sum(w in lang.words for w in around) / max(1, len(around)),
     ]
@@ -160,16 +188,25 @@ def scan(docs: DataFrame, lang: Language, path_col: str = "source") -> DataFrame
     return rows.mapInPandas(run, "doc_id long, text_key long, start long, end long, by_format int, features array<double>")
 
 
+def _fake(value: str) -> bool:
+    return any(w in FAKE for w in re.split(r"[^a-z]+", value.lower()))
+
+
+def key_like(value: str) -> bool:
+    """Whether a key of a fixed format, a signed token or a private key block stands in the value."""
+    return bool(PEM.search(value)) or any(not _fake(m.group()) for form in (KEY_FORMAT, JWT) for m in form.finditer(value))
+
+
 def marked(text: str, a: int, b: int) -> int:
     """1 for what its format shows to be a secret, else 0."""
     v = text[a:b]
     name, sign, _ = context(text, a, b)
-    if any(w in FAKE for w in re.split(r"[^a-z]+", v.lower())):
-        return 0
-    if KEY_FORMAT.fullmatch(v):
+    if key_like(v):
         return 1
+    if _fake(v):
+        return 0
     mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
-    return int(bool(sign) and name in CREDENTIAL and mixed and len(v) >= 8 and len(set(v)) >= 6)
+    return int(bool(sign) and (name.lower() in CREDENTIAL or credential_name(name)) and mixed and len(v) >= 8 and len(set(v)) >= 6)
 
 
 def train(found: DataFrame, labelled: DataFrame, max_findings: int = 20_000, trees: int = 40, depth: int = 8):
