@@ -96,3 +96,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {r.node: r.component for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 199: 199, 200: 199}
+
+
+def test_other_text_of_a_dropped_id_stays(spark):
+    rnd = random.Random(12)
+    a, b = prose(rnd, 80), prose(rnd, 90)
+    docs = with_clashes(plain(spark, [(3, a, "x"), (7, a + " more", "x"), (7, b, "x"), (8, b + " more", "x")]))
+    got = mh.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, a), (7, b)]

@@ -43,6 +43,17 @@ def test_search_equals_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("copies", [2, 12])
+def test_search_with_repeated_queries(spark, copies):
+    # the query's own rows lie far from the others, in a block of their own
+    rnd = np.random.default_rng(4)
+    rows = [(0, [4.0, 4.0, 0.0], 0)] * copies + [(i, [float(x) for x in np.float32(rnd.normal(size=3))], 0) for i in range(1, 400)]
+    got = topk.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()
+    q = [4096, 4096, 0]
+    want = sorted((-sum(a * int(np.floor(1024 * b)) for a, b in zip(q, v)), i) for i, v, _ in rows if i != 0)[:10]
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_large_numbers_stay_exact():
     v = np.array([[2.0**40, 3.0], [2.0**40, 4.0]])
     assert list(topk.inner(v, np.array([2.0**20, 1.0]))) == [2**60 + 3, 2**60 + 4]

@@ -123,7 +123,7 @@ def paths(token_rows: np.ndarray) -> list[np.ndarray]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's key), sketch and nodes of every document."""
+    """doc_id, text_key (hash of the text), n, k1, k2 (the set's key), sketch and nodes of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -133,10 +133,10 @@ def sign(docs: DataFrame) -> DataFrame:
                 t = np.array([tokens(s) if len(s) else np.zeros(TOKENS, np.uint64) for s in sets]).reshape(len(b), TOKENS)
                 nodes = [np.unique(p) if len(s) else [] for p, s in zip(paths(t), sets)]
                 keys = [set_key(s) for s in sets]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
+                yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
                                     "sketch": [r.astype(np.uint8).tobytes() for r in t], "nodes": [list(p) for p in nodes]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -358,6 +358,11 @@ def roots(stars: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
+    return _grouped(docs).drop("text_key")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with text_key, as an id may stand for several texts."""
     signed = store(sign(docs), "minhash-signed")
     alike = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
@@ -396,12 +401,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("k1", "k2", "component_id", F.lit(True).alias("has"))
     own = F.when(F.col("n") > 0, F.col("component_id"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id"))
+    out = signed.select("doc_id", "text_key", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with one of each group left (the smallest id), with their columns as they are."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(broadcast_if_small(store(dropped, "minhash-dropped"), IDS), "doc_id", "left_anti").select(*docs.columns)
+    dropped = _grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    dropped = broadcast_if_small(store(dropped, "minhash-dropped"), IDS)
+    # the row as one column, so that no name of the table can clash
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_text"))
+    return rows.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti").select("_row.*")

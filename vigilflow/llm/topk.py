@@ -4,7 +4,7 @@ Vectors are cut into document ranges: blocks of neighbouring vectors (by nearest
 components as a forward index and, per dimension (the "term"), the largest and smallest component. A query bounds
 what a block can reach by its summed term extremes, visits blocks from the highest bound down, scores a block through
 its forward index, and stops when the bounds fall below its kth score. A kth score that a query starts with comes
-from a bounded sample; it can only be too low, so pruning stays exact.
+from rows of other ids in a bounded sample; it can only be too low, so pruning stays exact.
 
 Blocks form chunks and queries form groups. Each pair of a chunk and a query group is one task's work of bounded
 size, whatever the number of vectors or queries, and contributes at most k candidates per query.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
-from .vectors import kmeans, rows_of, sample, squares, usable
+from .vectors import drawn, kmeans, rows_of, squares, usable
 
 BLOCK = 128
 CHUNK = 8192  # vectors of a chunk
@@ -74,6 +74,12 @@ def visit(blocks: Blocks, query_id, q: np.ndarray, k: int, floor: float) -> list
     return best
 
 
+def floor_of(scores: np.ndarray, others: np.ndarray, k: int) -> float:
+    """The kth best sample score among rows of other ids than the query's, however often its own rows are repeated."""
+    scores = scores[others]
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+
+
 def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", col: str = "embedding", scale: int = 1024, max_sample: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best rows by the inner product of floor(scale * x).
 
@@ -84,8 +90,8 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         F.transform(F.col(col), lambda x: x.cast("double")).alias("v")), "topk-vectors")
     have = {r["d"]: r["n"] for r in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     total = sum(have.values())
-    seen = {d: np.floor(x * scale) for d, x in sample(base, "id", "v", total, max_sample).items()}
-    order = {d: kmeans(x, max(1, min(256, len(x) // 8))) for d, x in seen.items()}
+    seen = {d: (ids, np.floor(x * scale)) for d, (ids, x) in drawn(base, "id", "v", total, max_sample).items()}
+    order = {d: kmeans(x, max(1, min(256, len(x) // 8))) for d, (_, x) in seen.items()}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole-numbered vectors, the centroid that orders them, and a query's starting threshold."""
@@ -97,10 +103,11 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
                 if d in order:
                     near = np.concatenate([squares(x[i:i + 2048], order[d]).argmin(1) for i in range(0, len(x), 2048)])
                 start = np.full(len(part), -np.inf)
-                if d in seen and len(seen[d]) > k:
+                if d in seen and len(seen[d][0]) >= k:
+                    of, vectors = seen[d]
+                    own = part["id"].to_numpy()
                     for i in np.flatnonzero(part["is_query"].to_numpy(bool)):
-                        # one more than k, as the query itself may be in the sample
-                        start[i] = float(np.sort(np.asarray(inner(seen[d], x[i]), float))[-k - 1])
+                        start[i] = floor_of(np.asarray(inner(vectors, x[i]), float), of != own[i], k)
                 yield pd.DataFrame({"id": part["id"], "is_query": part["is_query"], "d": d, "near": near, "start": start, "x": [r.tobytes() for r in x]})
 
     placed = store(base.mapInPandas(place, "id long, is_query boolean, d int, near int, start double, x binary"), "topk-placed")

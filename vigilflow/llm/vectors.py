@@ -38,12 +38,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     return c
 
 
-def sample(df: DataFrame, by: str, col: str, have: int, bound: int) -> dict[int, np.ndarray]:
-    """At most about ``bound`` vectors, drawn by the hash of ``by``, as matrices by vector length."""
+def drawn(df: DataFrame, by: str, col: str, have: int, bound: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """At most about ``bound`` vectors, drawn by the hash of ``by``: their ids and matrices by vector length."""
     from .common import hash_share
 
     got = df.where(hash_share(F.col(by), have, bound, 7)).select(by, col).toPandas().sort_values(by)
     out: dict[int, list] = {}
-    for v in got[col]:
-        out.setdefault(len(v), []).append(v)
-    return {d: np.array(v, float).reshape(len(v), d) for d, v in out.items()}
+    for i, v in zip(got[by], got[col]):
+        out.setdefault(len(v), []).append((i, v))
+    return {d: (np.array([i for i, _ in rows]), np.array([v for _, v in rows], float).reshape(len(rows), d)) for d, rows in out.items()}
+
+
+def sample(df: DataFrame, by: str, col: str, have: int, bound: int) -> dict[int, np.ndarray]:
+    """The matrices of ``drawn``."""
+    return {d: x for d, (_, x) in drawn(df, by, col, have, bound).items()}
