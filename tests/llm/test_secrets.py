@@ -98,3 +98,14 @@ def test_forest_finds_compound_names(spark):
     assert len(hit ^ want) <= 4
     clean = {r.doc_id: r.text for r in s.redact(docs).collect()}
     assert all(("[SECRET]" in clean[i]) == (i in hit) for i in clean)
+
+
+def test_language_counts_all_documents(spark):
+    # a small source with words of its own, in a corpus of more documents than any sample takes
+    docs = spark.range(9000).selectExpr("id as doc_id", "case when id < 3 then 'Zwirnfadenspulenhalterungsbau quorl' when id = 3 then 'onlyonce' else 'plain text' end as text")
+    lang = s.learn_language(docs)
+    assert lang.words == {"zwirnfadenspulenhalterungsbau", "quorl", "plain", "text"}
+    pairs = s.pair_counts(["plain", "text", "zwirnfadenspulenhalterungsbau", "quorl"], [8996, 8996, 3, 3]) + 1.0
+    assert abs(lang.pairs - s.np.log(pairs / pairs.sum(1, keepdims=True))).max() < 1e-12
+    # the bound of what is broadcast keeps the words of the most documents
+    assert s.learn_language(docs, max_words=2).words == {"plain", "text"}

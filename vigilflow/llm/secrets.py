@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,29 +64,64 @@ class Language:
     words: frozenset[str]
     pairs: np.ndarray
 
-    @staticmethod
-    def of(counts: dict[str, int]) -> Language:
-        pairs = np.ones((26, 26))
-        for w, n in counts.items():
-            for a, b in zip(w, w[1:]):
-                pairs[ord(a) - 97, ord(b) - 97] += n
-        return Language(frozenset(w for w in counts if len(w) >= 3), np.log(pairs / pairs.sum(1, keepdims=True)))
 
+def pair_counts(words: Iterable[str], counts: Iterable[int]) -> np.ndarray:
+    """How often each two letters follow each other in the words."""
+    pairs = np.zeros((26, 26), np.int64)
+    for w, n in zip(words, counts):
+        for a, b in zip(w, w[1:]):
+            pairs[ord(a) - 97, ord(b) - 97] += n
+    return pairs
 
-def learn_language(docs: DataFrame, max_docs: int = 4000, least: int = 3) -> Language:
-    """From at most about ``max_docs`` documents, drawn by the hash of the id; part of the classifier's training."""
+
+def learn_language(docs: DataFrame, max_words: int = 300_000, least: int = 3) -> Language:
+    """From the words of all documents that occur ``least`` times in them; longer ones than ``AROUND`` letters, which no
+    feature can look up, are none. Letter pairs are counted over all of these words. Of the words, which are broadcast,
+    those in the most documents are taken where there are more than ``max_words``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
+        in_docs: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"word": list(n), "n": list(n.values()), "docs": [in_docs[w] for w in n]})
+            n.clear()
+            in_docs.clear()
+            return out
+
         for b in batches:
             for t in texts(b["text"]):
-                n.update(w.lower() for w in WORDS.findall(t) if len(w) <= 24)
+                own = Counter(w.lower() for w in WORDS.findall(t) if len(w) <= AROUND)
+                n.update(own)
+                in_docs.update(own.keys())
+                if len(n) > 200_000:
+                    yield flush()
         if n:
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    drawn = docs.select("doc_id", "text").where(hash_share(F.col("doc_id"), docs.count(), max_docs, 5))
-    rows = drawn.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    return Language.of(dict(zip(rows["word"], rows["n"])))
+            yield flush()
+
+    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((pair_counts(b["word"], b["n"]) for b in batches), np.zeros((26, 26), np.int64)).ravel()
+        yield pd.DataFrame({"pair": np.flatnonzero(total), "n": total[total > 0]})
+
+    rows = docs.select("text").mapInPandas(count, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = store(rows.where(F.col("n") >= least), "secrets-words")
+    pairs = np.ones(26 * 26)
+    for r in rows.mapInPandas(pairs_of, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] += r["n"]
+    pairs = pairs.reshape(26, 26)
+    words = _most_common(rows.where(F.length("word") >= 3), max_words)
+    return Language(frozenset(words.select("word").toPandas()["word"]), np.log(pairs / pairs.sum(1, keepdims=True)))
+
+
+def _most_common(words: DataFrame, bound: int) -> DataFrame:
+    """The words in at least so many documents that no more than ``bound`` are left."""
+    step = F.floor(F.log2("docs") * 8).cast("int")
+    have, at = 0, None
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():
+        if have + r["count"] > bound:
+            return words.where(step >= at) if at is not None else words.limit(0)
+        have, at = have + r["count"], r["step"]
+    return words
 
 
 def _class(c: str) -> int:
