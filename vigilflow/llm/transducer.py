@@ -219,17 +219,23 @@ class Merger:
             may = frozenset(below if last < 0 else (t for t in below if self.may_follow(last, t)))
         else:
             may = self.sets[before].intersection(below)
-        got = None
-        if may:
-            got = self.set_ids.get(may)
-            if got is None:
-                got = self.set_ids[may] = len(self.sets)
-                self.sets.append(may)
+        got = self.number(may) if may else None
         if len(self.known) > MOST_PAIRS:
             self.known.clear()
         self.known[key] = got
         return got
 
+    def number(self, may: frozenset) -> int:
+        got = self.set_ids.get(may)
+        if got is None:
+            got = self.set_ids[may] = len(self.sets)
+            self.sets.append(may)
+        return got
+
+    def enter(self, state: tuple) -> int:
+        """A state whose sets are given as such, as one that outlives the table has them."""
+        return self.intern(tuple((node, self.number(b) if isinstance(b, frozenset) else b, count) for node, b, count in state))
+
     def intern(self, state: tuple) -> int:
         i = self.ids.get(state)
         if i is None:
@@ -268,14 +274,14 @@ class Merger:
         return v
 
     def changes(self, data: np.ndarray, first: np.ndarray, entry: tuple) -> tuple[np.ndarray, tuple]:
-        """Change of the count at every byte, and the state behind the last; ``first`` marks the beginnings of words."""
-        try:
-            return self._changes(data, first, self.intern(entry))
-        except Full:
-            self.clear()
-            if len(data) <= STATES // 4:  # fits an empty table: a byte adds at most one state in either run
-                return self._changes(data, first, self.intern(entry))
-        half = len(data) // 2
+        """Change of the count at every byte, and the state behind the last (sets as such); ``first`` marks the beginnings of
+        words."""
+        for _ in range(2):
+            try:
+                return self._changes(data, first, self.enter(entry))
+            except Full:
+                self.clear()
+        half = len(data) // 2  # a single byte always fits an empty table
         left, entry = self.changes(data[:half], first[:half], entry)
         right, entry = self.changes(data[half:], first[half:], entry)
         return np.concatenate([left, right]), entry
@@ -316,7 +322,7 @@ class Merger:
                 lane, at = lane[~same], at[~same]
                 if not len(lane):
                     break
-        end = self.states[states[(n - 1) % CHUNK, -1]]
+        end = tuple((node, self.sets[b] if b >= 0 else b, count) for node, b, count in self.states[states[(n - 1) % CHUNK, -1]])
         return out.T.ravel()[:n] - 128, end
 
 
