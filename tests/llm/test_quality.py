@@ -44,10 +44,36 @@ def test_risk_falls_as_in_a_plain_loop():
         loss_p, loss_n = -np.log(s), -np.log(1 - s)
         return prior * loss_p[pos].mean() + max(0.0, loss_n[~pos].mean() - prior * loss_n[pos].mean())
 
+    for scale in (0.0, 0.3, 1.0):
+        w = rnd.normal(0, scale, 7)
+        steps = [(risk(w + d) - risk(w - d)) / 2e-6 for d in 1e-6 * np.eye(7)]
+        loss_n = -np.log(1 - q.sigmoid(w[code].sum(1) + w[6]))
+        if loss_n[~pos].mean() >= prior * loss_n[pos].mean():
+            assert np.allclose(q._gradient(w, code, pos, prior, 0.0), steps, atol=1e-6)
     w = q._descend(code, 6, pos, prior, 400, 0.0)
     assert risk(w) < risk(np.zeros(7))
 
 
+def test_one_id_many_times_stays_within_the_sample(spark):
+    rnd = random.Random(2)
+    rows, labels = corpus(rnd, 200)
+    docs = plain(spark, rows + [(0, "the same row", "s")] * 3000 + [(None, "no id", "s")] * 3000)
+    lab = spark.createDataFrame([(i, y, 0) for i, y in labels] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    model = q.fit(docs, q.trusted(lab), max_positive=50, max_unlabelled=60)
+    assert 0 < model.prior < 1
+
+
+def test_prior_does_not_depend_on_the_order_of_ids(spark):
+    rows, labels = corpus(random.Random(1), 900)
+    named = set(i for i, _ in labels)
+    ids = list(range(900))
+    random.Random(7).shuffle(ids)
+    for new in (range(900), ids):
+        docs = plain(spark, [(new[i], t, s) for i, t, s in rows])
+        lab = spark.createDataFrame([(new[i],) for i in named], "doc_id long")
+        assert abs(q.fit(docs, lab).prior - 0.75) < 0.15
+
+
 def test_empty_tables(spark):
     docs = plain(spark, [])
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -92,26 +93,34 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> floa
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
+def _gradient(w: np.ndarray, code: np.ndarray, pos: np.ndarray, prior: float | None, ridge: float) -> np.ndarray:
+    """Of the risk, where its negative part is at least zero; below, the way back up. With ``prior`` None, of the plain
+    loss of positives against unlabelled rows. The last weight is the bias."""
+    width = len(w) - 1
+    p, u = np.flatnonzero(pos), np.flatnonzero(~pos)
+    s = sigmoid(w[code].sum(1) + w[width])
+    g = np.zeros(len(code))
+    if prior is None:
+        g[p], g[u] = (s[p] - 1) * 0.5 / len(p), s[u] * 0.5 / len(u)
+    else:
+        loss = -np.log(np.maximum(1 - s, 1e-12))
+        negative = loss[u].mean() - prior * loss[p].mean()
+        if negative >= 0:
+            g[p] = (prior * (s[p] - 1) - prior * s[p]) / len(p)
+            g[u] = s[u] / len(u)
+        else:  # step back up the part that became negative
+            g[p], g[u] = prior * s[p] / len(p), -s[u] / len(u)
+    grad = np.bincount(code.ravel(), np.repeat(g, code.shape[1]), minlength=width + 1)
+    grad[width] += g.sum()
+    grad[:width] += ridge * w[:width]
+    return grad
+
+
 def _descend(code: np.ndarray, width: int, pos: np.ndarray, prior: float | None, steps: int, ridge: float):
     """Adam on the risk; with ``prior`` None, on the plain loss of positives against unlabelled rows."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    p, u = np.flatnonzero(pos), np.flatnonzero(~pos)
     for t in range(1, steps + 1):
-        s = sigmoid(w[code].sum(1) + w[width])
-        g = np.zeros(len(code))
-        if prior is None:
-            g[p], g[u] = (s[p] - 1) * 0.5 / len(p), s[u] * 0.5 / len(u)
-        else:
-            loss = -np.log(np.maximum(1 - s, 1e-12))
-            negative = loss[u].mean() - prior * loss[p].mean()
-            if negative >= 0:
-                g[p] = (prior * (s[p] - 1) - prior * s[p]) / len(p)
-                g[u] = s[u] / len(u)
-            else:  # step back up the part that became negative
-                g[p], g[u] = prior * s[p] / len(p), -s[u] / len(u)
-        grad = np.bincount(code.ravel(), np.repeat(g, code.shape[1]), minlength=width + 1)
-        grad[width] += g.sum()
-        grad[:width] += ridge * w[:width]
+        grad = _gradient(w, code, pos, prior, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -127,7 +136,7 @@ def fit_arrays(pos: np.ndarray, unl: np.ndarray, bins: int = 6, steps: int = 300
         return Model(edges, [np.zeros(len(e) + 1) for e in edges], 0.0, 0.5)
     code = np.stack([starts[j] + np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], 1)
     # the prior comes from rows that the first, plain fit has not seen
-    half = np.arange(len(x)) % 2 == 0
+    half = np.fromiter((crc32(r.tobytes()) & 1 for r in x), bool, len(x))  # equal texts fall into the same half
     first = _descend(code[half], width, is_pos[half], None, steps // 2, ridge) if (is_pos & half).any() and (~is_pos & half).any() else np.zeros(width + 1)
     rest = first[code[~half]].sum(1)
     prior = estimate_prior(rest[is_pos[~half]], rest[~is_pos[~half]])
@@ -138,20 +147,22 @@ def fit_arrays(pos: np.ndarray, unl: np.ndarray, bins: int = 6, steps: int = 300
 def fit(docs: DataFrame, positives: DataFrame, max_positive: int = 8000, max_unlabelled: int = 16000) -> Model:
     """Train on documents whose ids ``positives`` (doc_id) lists against a sample of all documents.
 
-    ``max_positive`` and ``max_unlabelled`` bound the two samples, drawn by the hash of the id; only they and
-    their statistics reach the driver.
+    ``max_positive`` and ``max_unlabelled`` bound the two samples, drawn by the hash of id and text; a row that is repeated
+    counts once. Only the samples' statistics reach the driver.
     """
     ids = positives.select("doc_id").where("doc_id is not null").distinct()
-    sample = ids.where(hash_share(F.col("doc_id"), ids.count(), max_positive, 1))
-    rows = docs.select("doc_id", "text")
-    unlabelled = rows.where(hash_share(F.col("doc_id"), rows.count(), max_unlabelled, 2)).withColumn("pos", F.lit(False))
-    trusted = rows.join(F.broadcast(sample), "doc_id").withColumn("pos", F.lit(True))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    named = rows.join(ids, "doc_id", "left_semi")
+
+    def sample(of: DataFrame, bound: int, salt: int, pos: bool) -> DataFrame:
+        return of.where(hash_share(F.col("key"), of.count(), bound, salt)).dropDuplicates(["key"]).withColumn("pos", F.lit(pos))
 
     def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "pos": b["pos"], "x": list(matrix(texts(b["text"])))})
+            yield pd.DataFrame({"key": b["key"], "pos": b["pos"], "x": list(matrix(texts(b["text"])))})
 
-    got = trusted.unionByName(unlabelled).mapInPandas(stats, "doc_id long, pos boolean, x array<double>").toPandas().sort_values(["pos", "doc_id"])
+    both = sample(named, max_positive, 1, True).unionByName(sample(rows, max_unlabelled, 2, False))
+    got = both.mapInPandas(stats, "key long, pos boolean, x array<double>").toPandas().sort_values(["pos", "key"])
     x = np.array(got["x"].tolist()).reshape(len(got), N_STATS)
     pos = got["pos"].to_numpy(bool)
     return fit_arrays(x[pos], x[~pos])
