@@ -61,9 +61,8 @@ def test_components_equal_brute_force(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
-def test_large_nodes_branch_and_meet_in_blocks(spark, monkeypatch):
+def test_large_nodes_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(mh, "SMALL", 4)
-    monkeypatch.setattr(mh, "LEVELS", 1)
     monkeypatch.setattr(mh, "BLOCK", 8)
     monkeypatch.setattr(mh, "PART", 8)
     monkeypatch.setattr(mh, "ROUNDS", (False,))  # leaves the most to the comparison of components

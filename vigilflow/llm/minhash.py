@@ -8,11 +8,9 @@ level. ``TREES`` trees of ``DEPTH`` levels miss such a pair with probability 2e-
 
 Nodes are then compared:
 1. every document with the first one of its nodes; the closest by sketch is confirmed on full sets and joined;
-2. nodes whose documents now all belong to one component are done; what is left of larger ones branches on; small ones
-   are compared exhaustively by sketch (one byte per token) across components: twice the closest pair of every
-   component is confirmed and joins it, then every two components still apart that have a candidate pair are compared
-   by all their documents. Nodes that branching cannot make small are
-   compared in blocks.
+2. nodes whose documents now all belong to one component are done; all others are compared exhaustively by sketch (one
+   byte per token) across components, large ones in blocks: twice the closest pair of every component is confirmed and
+   joins it, then every two components still apart that have a candidate pair are compared by all their documents.
 Candidates are confirmed on full sets. Large groups of copies are thereby linked by stars, and the pairs inside a group
 are never listed; no pair of different components goes unconfirmed. The sketch leaves out pairs whose tokens agree so
 rarely that a true link would do so with probability 3e-6.
@@ -41,7 +39,6 @@ TOKENS, TREES, DEPTH = 128, 12, 3
 # of 128 tokens, 96 agree at similarity 0.75 on average, with a deviation of 4.9
 AGREE = 74
 SMALL = 64  # documents of a node that are compared exhaustively
-LEVELS = 6  # further levels that a large node may branch
 BLOCK = 1024
 PART = 512  # documents of a component that meet others in one task
 ROUNDS = (True, True, False)  # twice each component's closest pair, then all pairs still apart
@@ -234,27 +231,33 @@ def _small(rows: DataFrame, best: bool) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, best: bool) -> DataFrame:
-    """Comparison of nodes of any size as pairs of blocks, each a task's group of bounded size."""
-    r = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = r.select("node", "rid", "n", "color", "sketch", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("right"))
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        if key[1] == key[2]:
-            return _compare(b, np.zeros(len(b), np.int64), best)
+    """Comparison of large nodes in blocks. The documents of a node's largest component, a large group of near copies as a
+    rule, are not compared among themselves: only the others (``minor``) meet all of the node, so that the work grows with
+    the group and not with its square. A block of them and a block of the node are one task's group of bounded size."""
+    colors = rows.groupBy("node", "color").agg(F.count("*").alias("k"))
+    nodes = colors.groupBy("node").agg(F.max_by("color", F.struct("k", -F.col("color"))).alias("main"), F.sum("k").alias("c"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
+    r = rows.select("node", "rid", "n", "color", "sketch").join(nodes, "node").withColumn("minor", F.col("color") != F.col("main"))
+    r = r.withColumns({"i": F.ceil(F.col("m") / BLOCK).cast("int"), "j": F.ceil(F.col("c") / BLOCK).cast("int")})
+    own = lambda of: F.pmod(F.xxhash64("rid"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    kept = ["node", "rid", "n", "color", "sketch", "minor"]
+    left = r.where("minor").select(*kept, own("i").alias("x"), every("j").alias("y"), F.lit(False).alias("right"))
+    right = r.select(*kept, every("i").alias("x"), own("j").alias("y"), F.lit(True).alias("right"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
         l, r = b[~b["right"]], b[b["right"]]
         out = []
         sk = [np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), TOKENS) for s in (l, r)]
-        nr, cr, ir = (r[c].to_numpy() for c in ("n", "color", "rid"))
+        nr, cr, ir, mr = (r[c].to_numpy() for c in ("n", "color", "rid", "minor"))
         for x, n, c, i in zip(sk[0], l["n"], l["color"], l["rid"]):
-            ok = np.flatnonzero((cr != c) & (100 * np.minimum(n, nr) >= 75 * np.maximum(n, nr)))
+            ok = np.flatnonzero((cr != c) & ~(mr & (ir < i)) & (100 * np.minimum(n, nr) >= 75 * np.maximum(n, nr)))  # two of the minor ones meet once
             same = (sk[1][ok] == x).sum(1)
             ok, same = ok[same >= AGREE], same[same >= AGREE]
             full = np.full(len(ok), 0, np.int64)
             out.append(np.stack([full + i, ir[ok], full + c, cr[ok], same, full]))
         return _pairs(out, best)
 
-    return cells.groupBy("node", "x", "y").applyInPandas(run, PAIRS)
+    return left.unionByName(right).groupBy("node", "x", "y").applyInPandas(run, PAIRS)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -264,27 +267,11 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def mixed_nodes(shared: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, rid, n, color, sketch, c) that hold more than one component: small ones, after branching on what is
-    large, and those that stay large."""
+    """Nodes (node, rid, n, color, sketch, c) that hold more than one component: small ones and large ones."""
     colored = shared.join(comp.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
         "node", "rid", "n", F.coalesce("root", "rid").alias("color"))
-    rows = store(_mixed(colored).join(reps.select("rid", "sketch"), "rid"), "minhash-mixed")
-    columns = ["node", "rid", "n", "color", "sketch", "c"]
-
-    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                sk = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), TOKENS)
-                node, row = branch(b["node"].to_numpy().view(np.uint64), np.arange(len(b)), lambda r, i: sk[r, i].astype(np.uint64))
-                yield b.iloc[row].assign(node=node.view(np.int64))[["node", "rid", "n", "color", "sketch"]]
-
-    small, large = rows.where(F.col("c") <= SMALL).select(*columns), rows.where(F.col("c") > SMALL).select(*columns)
-    for _ in range(LEVELS):
-        if large.isEmpty():
-            break
-        rows = store(_mixed(large.mapInPandas(deeper, "node long, rid long, n long, color long, sketch binary").distinct()), "minhash-deeper")
-        small, large = small.unionByName(rows.where(F.col("c") <= SMALL).select(*columns)), rows.where(F.col("c") > SMALL).select(*columns)
-    return small, large
+    rows = store(_mixed(colored).join(reps.select("rid", "sketch"), "rid"), "minhash-mixed").select("node", "rid", "n", "color", "sketch", "c")
+    return rows.where(F.col("c") <= SMALL), rows.where(F.col("c") > SMALL)
 
 
 def across(small: DataFrame, large: DataFrame, best: bool) -> DataFrame:
