@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 150_000
 
 
 @dataclass
