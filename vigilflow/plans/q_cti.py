@@ -319,11 +319,20 @@ def set_intersect(spark, sf):
     return v.flows(spark, sf).select(F.col("src_ip").alias("ip")).intersect(v.iocs(spark, sf).select("value"))
 
 
-@query("set_except", v.cte("flows") + """
-select src_ip as ip from flows where label = 0 except select dst_ip from flows where label = 1 and dst_port % 2 = 0""")
+# every benign address also has malicious flows at some time, so the differences are taken per hour
+HOUR = "cast(floor(ts / 3600) as bigint)"
+
+
+def _hours(f, label):
+    return f.where(F.col("label") == label).select(F.col("src_ip").alias("ip"), F.floor(F.col("ts") / 3600).cast("bigint").alias("hour"))
+
+
+@query("set_except", v.cte("flows") + f"""
+select src_ip as ip, {HOUR} as hour from flows where label = 0 except select src_ip, {HOUR} from flows where label = 1""")
 def set_except(spark, sf):
+    """Addresses and hours with benign flows only."""
     f = v.flows(spark, sf)
-    return f.where("label = 0").select(F.col("src_ip").alias("ip")).subtract(f.where("label = 1 and dst_port % 2 = 0").select("dst_ip"))
+    return _hours(f, 0).subtract(_hours(f, 1))
 
 
 @query("set_union", v.cte("flows") + """
@@ -337,12 +346,14 @@ def set_union(spark, sf):
                                         F.round(F.sum("dur"), 3).alias("dur"))
 
 
-@query("join_anti_benign", v.cte("flows") + """
-select flow_id, src_ip from flows where label = 0 and src_ip not in (select dst_ip from flows where label = 1 and dst_port % 2 = 0)""")
+@query("join_anti_benign", v.cte("flows") + f"""
+select flow_id, src_ip from flows f where label = 0 and not exists (
+ select 1 from flows m where m.label = 1 and m.src_ip = f.src_ip and floor(m.ts / 3600) = floor(f.ts / 3600))""")
 def join_anti_benign(spark, sf):
-    f = v.flows(spark, sf)
-    return f.where("label = 0").join(f.where("label = 1 and dst_port % 2 = 0").select(F.col("dst_ip").alias("src_ip")).distinct(), "src_ip", "left_anti").select(
-        "flow_id", "src_ip")
+    """Benign flows of addresses without a malicious flow in the same hour."""
+    f = v.flows(spark, sf).withColumn("hour", F.floor(F.col("ts") / 3600).cast("bigint"))
+    bad = _hours(f, 1).withColumnRenamed("ip", "src_ip").distinct()
+    return f.where("label = 0").join(bad, ["src_ip", "hour"], "left_anti").select("flow_id", "src_ip")
 
 
 @query("join_semi_selected", v.cte("picked") + """

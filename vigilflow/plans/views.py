@@ -161,12 +161,17 @@ where score >= {THETA}""")
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert records of the flows that score over the threshold."""
+    return alerts_of(flows(spark, sf_dir))
+
+
+def alerts_of(flow_rows: DataFrame) -> DataFrame:
+    """Alert records of flow rows, also of a micro-batch of them."""
     fid = F.col("flow_id")
     refs = {f: attack_of(f) for f in REASON_FEATURES}
     pool = F.array(*[F.struct(
         F.lit(f).alias("feature"), F.lit(1.0).alias("value"), F.lit(0.1).alias("shap"), F.lit(f"{f} = 1").alias("reason"),
         F.lit(refs[f][0]).alias("tactic"), F.lit(refs[f][1]).alias("technique")) for f in REASON_FEATURES])
-    f = flows(spark, sf_dir).withColumns({
+    f = flow_rows.withColumns({
         "score": F.round(F.lit(0.6) + F.lit(0.4) * (F.col("sbytes") / (F.col("sbytes") + 200)), 4),
         "dst_hit": ((F.col("label") == 1) & (fid % 2 == 0)).cast("int"),
         "src_hit": ((F.col("label") == 1) & (fid % 2 == 1) & (fid % 3 == 0)).cast("int"),
