@@ -120,14 +120,21 @@ def sliding_rate(stream: DataFrame, width: str = "60 seconds", step: str = "10 s
 
 
 def burst(stream: DataFrame) -> DataFrame:
-    """Five-minute counts, to be set against the 15-minute average downstream."""
-    w = stream.groupBy(F.window("event_time", "5 minutes", "1 minute").alias("w"))
-    return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
-
-
-def throttle(stream: DataFrame, key: str, period: str = "30 seconds") -> DataFrame:
-    """First row per key within the period. ``event_time`` must not carry a watermark yet."""
-    return stream.withWatermark("event_time", period).dropDuplicatesWithinWatermark([key])
+    """Per window of 15 minutes, every minute: its alerts ``n``, those of its last five minutes ``recent``, and how many times
+    the mean of five minutes that is. Two aggregates in one stream: counts of minutes, and windows over these; a window
+    is emitted once the watermark has passed it."""
+    minutes = stream.groupBy(F.window("event_time", "1 minute").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    w = minutes.groupBy(F.window("m", "15 minutes", "1 minute").alias("w")).agg(
+        F.sum("c").alias("n"), F.collect_list(F.struct(F.col("m.start").alias("at"), "c")).alias("minutes"))  # at most 15
+    late = F.filter("minutes", lambda x: x["at"] >= F.col("w.start") + F.expr("interval 10 minutes"))
+    recent = F.aggregate(late, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
+    return w.select(F.col("w.start").alias("start"), recent.alias("recent"), "n", (recent / (F.col("n") / 3)).alias("ratio"))
+
+
+def sessions(stream: DataFrame, key: str = "src_ip", gap: str = "1 hour") -> DataFrame:
+    """Runs of a key's rows without a gap, emitted once the watermark has passed their end."""
+    w = stream.groupBy(key, F.session_window("event_time", gap).alias("w"))
+    return w.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select(key, "first", "last", "n")
 
 
 def upsert_table(path: str) -> BatchFn:
