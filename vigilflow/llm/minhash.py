@@ -60,7 +60,7 @@ class _Words(dict):
     """Hashes of words; forgets all when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

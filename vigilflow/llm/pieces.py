@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CACHE = 150_000
+CACHE = 100_000
 
 
 @dataclass
@@ -66,7 +66,7 @@ class Vocabulary:
 
     def follows(self, a: int, b: int, text: str) -> bool:
         """Whether piece ``b`` may come after ``a`` (first, if that is -1), ``text`` being their joined text."""
-        if len(self._pairs) > 4 * CACHE:
+        if len(self._pairs) > 3 * CACHE:
             self._pairs.clear()
         known = self._pairs[a << 32 | b] = self.merged(text) == ([b] if a < 0 else [a, b])
         return known
@@ -201,7 +201,7 @@ def decode(ids: Iterable[int], v: Vocabulary) -> str:
 def encode_decode(docs: DataFrame, v: Vocabulary, rows: int = 2000) -> DataFrame:
     """doc_id, ids, n_ids and round_trip (decoding the ids gave the text back) for every document.
 
-    ``rows`` texts share one trie; a batch is also closed at 8 million characters.
+    ``rows`` texts share one trie; a batch is also closed at 2 million characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def encode_decode(docs: DataFrame, v: Vocabulary, rows: int = 2000) -> DataFrame
                 doc_ids.append(i)
                 batch.append(t or "")
                 size += len(t or "")
-                if len(batch) >= rows or size >= 8_000_000:
+                if len(batch) >= rows or size >= 2_000_000:
                     yield flush(doc_ids, batch)
                     doc_ids, batch, size = [], [], 0
         if batch:
