@@ -19,7 +19,6 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +75,7 @@ class ByteLevel:
 
         return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> Sequence[int]:
         if self.fast is not None:
             try:
                 return self.fast.encode_ordinary(" " + text)
@@ -96,7 +95,7 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(names)]
 
     def ids(self, text: str) -> list[int]:
-        return self.library.encode(text)
+        return self.library.encode_as_ids(text)
 
 
 Cuts = tuple[Sequence[int], Sequence[int]]  # where groups end in a, and in b
@@ -104,8 +103,8 @@ Cuts = tuple[Sequence[int], Sequence[int]]  # where groups end in a, and in b
 
 def align(a: Sequence[int], b: Sequence[int]) -> Cuts:
     """Where the groups of two token sequences end (past the last token), from the byte lengths of their tokens."""
-    at_a = dict(zip(accumulate(a), range(1, len(a) + 1)))
-    at_b = dict(zip(accumulate(b), range(1, len(b) + 1)))
+    at_a = dict(zip(np.cumsum(a).tolist(), range(1, len(a) + 1)))
+    at_b = dict(zip(np.cumsum(b).tolist(), range(1, len(b) + 1)))
     ends = sorted(at_a.keys() & at_b.keys())
     return list(map(at_a.__getitem__, ends)), list(map(at_b.__getitem__, ends))
 
@@ -141,10 +140,13 @@ class Aligner:
     def __init__(self, definition: str, model: bytes):
         self.a, self.b = ByteLevel(definition), Pieces(model)
         self.lens = [np.array([len(t) for t in s.bytes], np.int64) for s in (self.a, self.b)]
-        # every id with the sign that follows it: a's within and at the end of a group, then b's
-        self.signed = [f"{i}{sign}" for s, signs in ((self.a, ",|"), (self.b, ",;")) for sign in signs for i in range(len(s.bytes))]
+        # every id with the sign that follows it, as eight bytes: a's within and at the end of a group, then b's
+        signed = [f"{i}{sign}".encode() for s, signs in ((self.a, ",|"), (self.b, ",;")) for sign in signs for i in range(len(s.bytes))]
+        self.signed = np.array(signed, "S8").view(np.uint64)
+        if max(map(len, signed)) > 8:
+            raise ValueError("ids of more than seven digits")
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str | None) -> tuple[Sequence[int], Sequence[int]]:
         if not text:
             return [], []
         a, b = self.a.ids(text), self.b.ids(text)
@@ -155,14 +157,15 @@ class Aligner:
                 return [], []
         return a, b
 
-    def notation(self, a: np.ndarray, b: np.ndarray, cuts: Cuts) -> str:
+    def notation(self, a: np.ndarray, b: np.ndarray, cuts: Cuts) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
         at_a, at_b, last_a, last_b = interleave((len(a), len(b)), cuts)
         names = np.empty(len(a) + len(b), np.int64)
         size_a, size_b = len(self.a.bytes), len(self.b.bytes)
         names[at_a] = a + size_a * last_a
         names[at_b] = b + 2 * size_a + size_b * last_b
-        return "".join(map(self.signed.__getitem__, names.tolist()))[:-1]
+        letters = self.signed[names].view(np.uint8)
+        return letters[letters != 0].tobytes()[:-1]
 
     def document(self, text: str | None) -> tuple[np.ndarray, np.ndarray, Cuts, np.ndarray]:
         """Ids of both sides, the groups' ends, and a code (a's id times b's vocabulary plus b's id) per link."""
@@ -170,7 +173,7 @@ class Aligner:
         if not len(ids[0]):
             return *ids, ([], []), np.zeros(0, np.int64)
         sizes = [n[i] for n, i in zip(self.lens, ids)]
-        cuts = align(sizes[0].tolist(), sizes[1].tolist())
+        cuts = align(*sizes)
         if sizes[0].all() and sizes[1].all():
             at = np.array(cuts, np.int64) - 1  # then the last tokens of a group are its only link
         else:
@@ -212,8 +215,8 @@ def aligned(docs: DataFrame, definition: str, model: bytes, with_groups: bool =
                 a, b, cuts, codes = al.document(text)
                 said = al.notation(a, b, cuts)
                 pairs, times = np.unique(codes, return_counts=True)
-                rows.append((doc_id, len(a), len(b), len(cuts[0]), len(codes), hashlib.sha256(said.encode()).hexdigest() if len(a) else "", pairs, times)
-                            + ((said,) if with_groups else ()))
+                rows.append((doc_id, len(a), len(b), len(cuts[0]), len(codes), hashlib.sha256(said).hexdigest() if len(a) else "", pairs, times)
+                            + ((said.decode(),) if with_groups else ()))
                 held += len(pairs)
                 if held > 500_000 or len(rows) >= 1000:
                     yield flush(rows)
