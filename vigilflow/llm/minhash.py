@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import store, texts
+from .common import release, store, texts
 from .components import components
 
 WIDTH = 5  # words of a shingle
@@ -132,6 +132,8 @@ def sign(docs: DataFrame) -> DataFrame:
                 keys = [set_key(s) for s in sets]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
                                     "sketch": [r.astype(np.uint8).tobytes() for r in t], "nodes": [list(p) for p in nodes]})
+        _WORDS.clear()
+        release()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
 
@@ -164,6 +166,8 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             got = [shingles(t) for t in texts(b["text"])]
             same = [set_key(s) == (x, y) for s, x, y in zip(got, b["k1"], b["k2"])]  # an id may have other texts too
             yield pd.DataFrame({"rid": b["rid"], "set": [s.tobytes() for s in got]})[same]
+        _WORDS.clear()
+        release()
 
     rows = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select("rid", "doc_id", "k1", "k2"), IDS), "doc_id")
     found = rows.select("rid", "k1", "k2", "text").mapInPandas(sets, "rid long, set binary")

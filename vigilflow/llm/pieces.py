@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 MARK = "▁"
 CACHE = 100_000
 
@@ -227,5 +229,7 @@ def encode_decode(docs: DataFrame, v: Vocabulary, rows: int = 2000) -> DataFrame
                     doc_ids, batch, size = [], [], 0
         if batch:
             yield flush(doc_ids, batch)
+        doc_ids, batch = [], []
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids int, round_trip boolean")
