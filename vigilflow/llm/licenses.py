@@ -13,6 +13,7 @@ are scanned alike; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +62,7 @@ FAMILIES = (
     ("odbl", r"open (?:data commons )?(?:open )?database licen[cs]e", "database", ("1.0",)),
     ("odc-by", r"open data commons attribution licen[cs]e", "attribution", ("1.0",)),
     ("boost", r"boost software licen[cs]e", "boost", ("1.0",)),
-    ("python", r"(?:python software foundation|psf) licen[cs]e", "license", ("2",)),
+    ("python", r"(?:python software foundation|psf) licen[cs]e", "", ("2",)),
     ("php", r"php licen[cs]e", "php", ("3.0", "3.01")),
     ("zope", r"zope public licen[cs]e", "zope", ("1.1", "2.0", "2.1")),
     ("w3c", r"w3c (?:software )?(?:notice and )?licen[cs]e", "w3c", ("",)),
@@ -94,7 +95,7 @@ SENTENCES = (
     ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial", NAMED),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby", EXACT),
     ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", EXACT),
-    ("bsd-3-clause", r"neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote", "endorse", EXACT),
+    ("bsd-3-clause", r"neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors may be used to endorse or promote", "endorse", EXACT),
     ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising", EXACT),
     ("apache-2.0", r"you may not use this file except in compliance with the license", "compliance", EXACT),
     ("apache-2.0", r"www apache org licenses license 2 0", "apache", EXACT),
@@ -105,6 +106,76 @@ SENTENCES = (
     ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "implied", EXACT),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", EXACT),
     ("unlicense", r"unlicense org|the unlicense", "", NAMED),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "compile", EXACT),
+    ("mit-0", r"mit no attribution", "attribution", EXACT),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "merchantability", NAMED),
+    ("x11", r"except as contained in this notice the name of (?:(?!except as contained in ).)+? shall not be used in advertising", "advertising", EXACT),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions", NAMED),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions", NAMED),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is", "provided", NAMED),
+    ("bsd", r"use of this source code is governed by a bsd style licen[cs]e", "bsd", EXACT),
+    ("bsd-2-clause-views", r"the views and conclusions contained in the software and documentation are those of the authors", "conclusions", EXACT),
+    ("isc", r"the software is provided as is and the author disclaims all warranties", "disclaims", NAMED),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "basis", EXACT),
+    ("apache-2.0", r"you may obtain a copy of the license at (?:http |https )?www apache org", "apache", EXACT),
+    ("apache-2.0", r"licensed to the apache software foundation asf under one or more contributor license agreements", "contributor", EXACT),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "apache", EXACT),
+    ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty", "hope", NAMED),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim", NAMED),
+    ("gpl", r"www gnu org (?:licenses|copyleft) gpl", "gnu", NAMED),
+    ("gpl-2.0", r"gnu general public license version 2 june 1991|gpl 2 0 only|gpl v2 only", "", EXACT),
+    ("gpl-3.0", r"gnu general public license version 3 29 june 2007", "gnu", EXACT),
+    ("gpl-linking-exception", r"as a special exception (?:(?!as a special exception ).)+? permission to link", "exception", EXACT),
+    ("gpl-classpath-exception", r"classpath exception|linking this library statically or dynamically with other modules", "", EXACT),
+    ("lgpl", r"this library is distributed in the hope that it will be useful but without any warranty", "hope", NAMED),
+    ("lgpl", r"www gnu org licenses lgpl", "lgpl", NAMED),
+    ("agpl", r"www gnu org licenses agpl", "agpl", NAMED),
+    ("agpl-3.0", r"remote network interaction use with the gnu general public license", "remote", EXACT),
+    ("fdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation", EXACT),
+    ("fdl-no-invariants", r"with no invariant sections no front cover texts and no back cover texts", "invariant", EXACT),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", EXACT),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "mozilla", EXACT),
+    ("mpl-2.0-incompatible", r"incompatible with secondary licenses", "incompatible", EXACT),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license(?: v| version)? 2 0", "eclipse", EXACT),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license(?: v| version)? 1 0", "eclipse", EXACT),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", "distribution", EXACT),
+    ("cecill", r"this software is governed by the cecill (?:b |c )?licen[cs]e under french law", "french", EXACT),
+    ("eupl", r"licensed under the eupl", "eupl", EXACT),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", "altered", NAMED),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented", EXACT),
+    ("boost-1.0", r"distributed under the boost software license version 1 0", "boost", EXACT),
+    ("boost-1.0", r"www boost org license 1 0 txt", "boost", EXACT),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim", NAMED),
+    ("artistic", r"under the same terms as perl itself", "perl", NAMED),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", "font", EXACT),
+    ("ofl", r"reserved font names?", "font", NAMED),
+    ("python", r"psf is making python available to licensee on an as is basis", "psf", EXACT),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl", EXACT),
+    ("ssleay", r"this product includes cryptographic software written by eric young", "cryptographic", EXACT),
+    ("php", r"this product includes php software freely available from", "php", EXACT),
+    ("w3c", r"w3c liability trademark document use and software licensing rules apply", "w3c", EXACT),
+    ("ncsa", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", "deal", EXACT),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck", EXACT),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "stuff", EXACT),
+    ("json", r"the software shall be used for good not evil", "evil", EXACT),
+    ("cc0-1.0", r"has waived all copyright and related or neighboring rights to", "waived", EXACT),
+    ("cc0-1.0", r"creativecommons org publicdomain zero 1 0", "creativecommons", EXACT),
+    ("odbl", r"opendatacommons org licenses odbl", "odbl", EXACT),
+    ("pddl", r"public domain dedication and license", "dedication", EXACT),
+    ("mulan-psl", r"mulan (?:permissive software license|psl)", "mulan", EXACT),
+    ("elastic-2.0", r"elastic licen[cs]e(?: 2 0| version 2)?", "elastic", EXACT),
+    ("sspl", r"server side public licen[cs]e", "server", EXACT),
+    ("busl", r"business source licen[cs]e", "business", EXACT),
+    ("commons-clause", r"commons clause(?: license condition)?", "clause", EXACT),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter) licen[cs]e", "polyform", EXACT),
+    ("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)?", "", EXACT),
+    ("us-government", r"this (?:work|software) is a work of the (?:united states|u s) government", "government", NAMED),
+    ("crown-copyright", r"crown copyright", "crown", NAMED),
+    ("ogl", r"open government licen[cs]e", "government", NAMED),
+    ("no-warranty", r"(?:comes with|there is) (?:absolutely )?no warranty", "warranty", HINT),
+    ("permission", r"(?:reprinted|reproduced|used) (?:with|by) (?:kind )?permission(?: of)?", "permission", HINT),
+    ("proprietary", r"no part of this (?:publication|book|document|work) may be reproduced", "reproduced", NAMED),
+    ("proprietary", r"confidential and proprietary|trade secrets? of", "", NAMED),
     ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "hereby", EXACT),
     ("beerware", r"beerware license|beer ware license|you can buy me a beer in return", "", NAMED),
     ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", "", NAMED),
@@ -175,7 +246,7 @@ class Scanner:
         for x in self.table:
             if x[3]:
                 self.by_anchor.setdefault(self._anchor(x[1]), []).append(x)
-        self.free_words = re.compile("licen[cs]e|cc0|creative|wtfpl|beer|proprietary|unauthorized|use only|bsd")
+        self.free_words = re.compile("licen[cs]e|cc0|creative|wtfpl|beer|proprietary|unauthorized|use only|bsd|gpl|gnu|classpath|linking|rail|trade")
 
     @staticmethod
     def _anchor(r: Rule) -> str:
@@ -190,9 +261,9 @@ class Scanner:
             run += self.free
         out = []
         for i, r, regex, _ in sorted(run, key=lambda x: x[0]):
-            at = 0
+            at = first = seen = 0
             while m := regex.search(line, at):
-                first = line.count(" ", 0, m.start())
+                first, seen = first + line.count(" ", seen, m.start()), m.start()
                 out.append(Detection(r.label, first, first + m.group().count(" "), r.priority, i))
                 # base phrases count wherever they stand; others go on behind the match
                 at = m.start() + 1 if r.priority == BASE else m.end()
@@ -202,9 +273,16 @@ class Scanner:
     def resolve(found: list[Detection]) -> list[Detection]:
         """What is left after suppression by priority and interval containment."""
         kept: list[Detection] = []
+        # intervals kept so far that no other one contains: starts and ends both ascend
+        starts: list[int] = []
+        ends: list[int] = []
         for d in sorted((d for d in found if d.priority != BASE), key=lambda d: (-d.priority, d.first - d.last, d.order, d.first)):
-            if not any(k.first <= d.first and d.last <= k.last for k in kept):
-                kept.append(d)
+            at = bisect_right(starts, d.first)
+            if at and ends[at - 1] >= d.last:
+                continue
+            kept.append(d)
+            low, high = bisect_left(starts, d.first), bisect_right(ends, d.last)
+            starts[low:high], ends[low:high] = [d.first], [d.last]
         return [d for d in found if d.priority == BASE] + kept
 
     def scan(self, text: str) -> tuple[int, list[Detection]]:
