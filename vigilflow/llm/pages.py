@@ -1,11 +1,14 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree (tags, classes, texts and children) has a hash. Spark counts, per host, on how many different
-pages (by their paragraphs) a subtree occurs; subtrees that recur on many pages of their host are template and are
-deleted. Inside an article only containers are: a paragraph or heading of an article stays, however often it recurs.
+Every element's subtree (tags, classes, texts and children) has a hash. Spark counts, per host and per section of a
+host (the first folder of the path), on how many different pages (by all text of their articles, or of the page where
+it has none) a subtree occurs. Subtrees that recur on many pages, and on a share of the host's or of one section's, are
+template and are deleted; as the share may be a section's, a section's template goes on a large host as on a small one.
+Inside an article only containers are: a paragraph or heading of an article stays, however often it recurs.
 Elements that HTML itself or their class, id or role name as menu, header, footer, sidebar, notice, advert, form or
-reader comment go as well; so do scripts and styles. What is left of the article (or of the main part or the body,
-where a page has none) is split into blocks.
+reader comment go as well; so do scripts and styles. A class or id names such a part only if all its words do so or are
+about layout ("site-footer", "ad-box-2"); "share-price" or "ad-hoc" name none, and recurrence alone decides there. What
+is left of the article (or of the main part or the body, where a page has none) is split into blocks.
 
 Defined cases: null html is empty and gives an empty text; a page cut off inside a tag loses that tag only; a null
 or odd URL has the host ""; copies of a page count once for the template and each give their text; other columns are
@@ -23,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 from .common import store, texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)", re.S)
@@ -46,10 +48,24 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay "
                   "newsletter subscribe subscription sidebar comment comments commentlist disqus respond reply replies menu nav navbar navigation breadcrumb breadcrumbs footer "
                   "header masthead topbar share sharing social related recommended widget widgets pagination pager login signup search toolbar skip".split())
+# Words of layout that may stand next to those in a class or id.
+LAYOUT = frozenset("site page main global top bottom left right upper lower inner outer center box bar area zone section block container wrapper wrap holder list item items link links row "
+                   "col column columns module component panel title text primary secondary tertiary fixed sticky floating mobile desktop js slot unit button buttons icon icons group "
+                   "count form field input post posts article articles entry entries blog author user view message bottombar static full wide small large the of and".split())
 WEAK = frozenset(("header", "search", "related"))  # not decisive inside an article
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd td th tr figcaption article main b i em strong a span code".split())
-# A subtree is template from this many different pages of a host and this share of them on.
+# A subtree is template from this many different pages and this share of those of the host or of one section on.
 LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_IN_ARTICLE = 10, 0.05, 0.3
+MOST_HASHES = 1_000_000  # eight bytes each are broadcast
+
+
+def named(name: str) -> frozenset[str]:
+    """The template words of a class or id; none where any other word but one of layout stands beside them."""
+    if name in NAMES:
+        return frozenset((name,))
+    words = re.split(r"[-_]+", name)
+    hit = NAMES.intersection(words)
+    return hit if hit and all(w in NAMES or w in LAYOUT or len(w) < 2 or w.isdigit() for w in words) else frozenset()
 
 
 class Element:
@@ -60,8 +76,7 @@ class Element:
         self.parts: list[Element | str] = []
         self.holds = False  # an article or main part stands inside
         self.hash = 0
-        self.names = {x for name in (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()) if not name.startswith(("no-", "has-", "with-"))
-                      for x in (name, *re.split(r"[-_]", name))}
+        self.names = frozenset().union(*map(named, (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower())))
 
     @property
     def is_main(self) -> bool:
@@ -148,8 +163,7 @@ def is_template(e: Element, common: frozenset, very: frozenset, inside: bool) ->
         return True
     if e.attrs.get("role", "").lower() in ROLES or e.tag in ("body", "html"):
         return e.tag not in ("body", "html")
-    hit = e.names & NAMES
-    if hit and not (inside and hit <= WEAK):
+    if e.names and not (inside and e.names <= WEAK):
         return True
     return e.hash in (very if inside else common) and not (inside and e.tag in KEPT_IN_ARTICLE)
 
@@ -161,10 +175,10 @@ def _regions(root: Element) -> list[Element]:
         while todo:
             e = todo.pop(0)
             role = e.attrs.get("role", "").lower()
-            if wanted and (e.tag in wanted or role in wanted) and not (e.names & NAMES - WEAK):
+            if wanted and (e.tag in wanted or role in wanted) and not (e.names - WEAK):
                 found.append(e)
                 continue
-            if e.tag in NEVER and not e.holds or (e.names & NAMES and not e.holds):
+            if e.tag in NEVER and not e.holds or (e.names and not e.holds):
                 continue
             todo = [p for p in e.parts if isinstance(p, Element)] + todo
         if found:
@@ -209,14 +223,15 @@ def main_text(root: Element, common: frozenset = frozenset(), very: frozenset =
 
 
 def subtrees(root: Element) -> tuple[int, set[int], set[int]]:
-    """Hash of the page's paragraphs, and hashes of the elements that may be template outside and inside articles."""
-    outside, inside, words = set(), set(), []
+    """Hash of the text of the page's articles (of all of it, where they hold none), and hashes of the elements that may
+    be template outside and inside articles."""
+    outside, inside, words, others = set(), set(), [], [p for p in root.parts if isinstance(p, str)]
     todo = [(p, False) for p in root.parts if isinstance(p, Element)]
     while todo:
         e, within = todo.pop()
-        if e.tag == "p":
-            words.append(e.hash)
         within = within or e.is_main
+        if e.tag not in NEVER:
+            (words if within else others).extend(p for p in e.parts if isinstance(p, str))
         if not e.holds and e.tag not in ("body", "head") and any(isinstance(p, Element) or p.strip() for p in e.parts):
             if not within:
                 outside.add(e.hash)
@@ -224,39 +239,51 @@ def subtrees(root: Element) -> tuple[int, set[int], set[int]]:
                 inside.add(e.hash)
         if e.tag not in NEVER:
             todo += [(p, within) for p in e.parts if isinstance(p, Element)]
-    return xxhash.xxh3_64_intdigest(str(sorted(words))) - (1 << 63), outside, inside
+    text = SPACE.sub(" ", "\x02".join(words)).strip(" \x02") or SPACE.sub(" ", "\x02".join(others))
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63), outside, inside
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
+def section_of(url: Column) -> Column:
+    """The first folder of the path; "" where a page stands at the top."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)/[^?#]", 1), F.lit(""))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, common and very: subtree hashes that are template outside and inside articles of a host."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for host, html in zip(b["host"], texts(b["html"])):
+            for host, section, html in zip(b["host"], b["section"], texts(b["html"])):
                 page, outside, inside = subtrees(parse(html))
-                out += [(host, page, h, False) for h in outside] + [(host, page, h, True) for h in inside] + [(host, page, 0, False)]
-            yield pd.DataFrame(out, columns=["host", "page", "subtree", "inside"])
-
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, page long, subtree long, inside boolean")
-    # copies of a page count once; the row with subtree 0 counts the host's pages
-    counts = seen.distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n"))
+                out += [(host, section, page, h, False) for h in outside] + [(host, section, page, h, True) for h in inside] + [(host, section, page, 0, False)]
+            yield pd.DataFrame(out, columns=["host", "section", "page", "subtree", "inside"])
+
+    seen = pages.select(host_of(F.col("url")).alias("host"), section_of(F.col("url")).alias("section"), "html").mapInPandas(
+        run, "host string, section string, page long, subtree long, inside boolean")
+    # copies of a page count once in its host (section null) and once in its section; subtree 0 counts the pages
+    seen = seen.withColumn("section", F.explode(F.array(F.col("section"), F.lit(None)))).distinct()
+    counts = seen.groupBy("host", "section", "subtree", "inside").agg(F.count("*").alias("n"))
     counts = store(counts.where(F.col("n") >= LEAST_PAGES), "pages-subtrees")
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree != 0").join(total, "host").where(
+    total = counts.where("subtree = 0").select(F.col("host").alias("_h"), F.col("section").alias("_s"), F.col("n").alias("pages"))
+    often = counts.where("subtree != 0").join(total, (F.col("host") == F.col("_h")) & F.col("section").eqNullSafe(F.col("_s"))).where(
         F.col("n") >= F.when(F.col("inside"), LEAST_SHARE_IN_ARTICLE).otherwise(LEAST_SHARE) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set(F.when(~F.col("inside"), F.col("subtree"))).alias("common"),
                                      F.collect_set(F.when(F.col("inside"), F.col("subtree"))).alias("very"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page. The subtrees that recur on a host are a share of one page's elements at most
-    each, so a host's list is bounded by its pages' size over the least share."""
-    often = broadcast_if_small(store(templates(pages), "pages-templates"), 100_000)
+    """page_id, url, text of every page. The subtrees that recur on a section are a share of one page's elements at most
+    each, so a host's list is bounded by its pages' size over the least share. All lists are broadcast only where their
+    hashes were counted and found few; else they are joined by shuffle."""
+    often = store(templates(pages), "pages-templates")
+    hashes = often.agg(F.sum(F.size("common") + F.size("very") + F.lit(1))).first()[0] or 0
+    if hashes <= MOST_HASHES:
+        often = F.broadcast(often)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[str, tuple[frozenset, frozenset]] = {}
