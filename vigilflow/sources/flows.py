@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,19 +112,48 @@ def parse_csv(rows: DataFrame, keep=()) -> DataFrame:
     return _generic(rows, s.column_lookup(rows), keep)
 
 
-def parse_zeek(lines: DataFrame, file_col: str = "file", keep=()) -> DataFrame:
-    """Tab-separated log lines; each file names its columns in a ``#fields`` line.
+def _zeek_fields(line) -> Column:
+    """Column names of a ``#fields`` line."""
+    return F.array_compact(F.transform(F.split(line, "\t"), lambda x, i: F.when(i > 0, x)))
 
-    One header row per file is joined back by file; it is broadcast when counted small.
+
+def parse_zeek(lines: DataFrame, file_col: str = "file", keep=(), pos_col: str | None = None) -> DataFrame:
+    """Tab-separated log lines; a ``#fields`` line names the columns of the lines behind it.
+
+    ``pos_col`` orders the lines of a file (see :func:`text_lines`): a line takes the last header before it, lines
+    before the first header are skipped. Only headers that change something are joined back, as intervals of
+    positions, broadcast when counted small. Without positions a file must hold one header, which names all its lines.
     """
-    head = (
-        lines.where(F.col("value").startswith("#fields"))
-        .groupBy(file_col)
-        .agg(F.max("value").alias("_h"))
-        .select(file_col, F.array_compact(F.transform(F.split("_h", "\t"), lambda x, i: F.when(i > 0, x))).alias("_f"))
-    )
+    head = lines.where(F.col("value").startswith("#fields"))
     body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    body = s.pinned(body.join(broadcast_if_small(head), file_col), *keep, "_f", F.split("value", "\t").alias("_p"))
+    if pos_col is None:
+        head = head.groupBy(F.col(file_col).alias("_file")).agg(F.max("value").alias("_h")).select("_file", _zeek_fields("_h").alias("_f"))
+        on = F.col(file_col) == F.col("_file")
+    else:
+        # windows over header lines only
+        w = Window.partitionBy("_file").orderBy("_from")
+        head = head.select(F.col(file_col).alias("_file"), F.col(pos_col).alias("_from"), _zeek_fields("value").alias("_f"))
+        head = head.withColumn("_same", F.lag("_f").over(w).eqNullSafe(F.col("_f"))).where(~F.col("_same"))
+        head = head.withColumn("_to", F.lead("_from").over(w)).drop("_same")
+        on = (F.col(file_col) == F.col("_file")) & (F.col(pos_col) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(pos_col) < F.col("_to")))
+    return _zeek_flows(body.join(broadcast_if_small(head), on), keep)
+
+
+def parse_zeek_files(files: DataFrame, keep=()) -> DataFrame:
+    """Whole log files, one to a row in ``value``, each line under the last header before it. Nothing is joined, so this
+    serves streams, whose files come whole; a file must fit in a row."""
+    lines = files.select(*keep, F.split("value", "\r?\n").alias("_l"))
+    heads = F.filter(F.transform("_l", lambda x, i: F.when(x.startswith("#fields"), F.struct(i.alias("i"), _zeek_fields(x).alias("f")))),
+                     lambda h: h.isNotNull())
+    lines = lines.withColumn("_h", heads).select(*keep, "_h", F.posexplode("_l").alias("_i", "value"))
+    lines = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    last = F.get(F.reverse(F.filter("_h", lambda h: h["i"] < F.col("_i"))), F.lit(0))["f"]
+    return _zeek_flows(lines.withColumn("_f", last).where(F.col("_f").isNotNull()), keep)
+
+
+def _zeek_flows(body: DataFrame, keep=()) -> DataFrame:
+    """Lines in ``value`` with their column names in ``_f``."""
+    body = s.pinned(body, *keep, "_f", F.split("value", "\t").alias("_p"))
 
     def get(name: str) -> Column:
         at = F.array_position("_f", name)
@@ -201,7 +230,10 @@ def detect_format(path: str, hint: str = "auto") -> str:
 
 
 def text_lines(spark: SparkSession, path) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Lines with their file and a position that ascends within it: start of the split, then the order of reading."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("pos"))
 
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
@@ -209,8 +241,10 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     fmt = detect_format(path, fmt)
     if fmt == "csv":
         return parse_csv(spark.read.csv(path, header=True))
-    parser = {"zeek": parse_zeek, "eve": parse_eve, "jsonl": parse_jsonl}[fmt]
-    return parser(spread(text_lines(spark, path)))
+    lines = spread(text_lines(spark, path))
+    if fmt == "zeek":
+        return parse_zeek(lines, pos_col="pos")
+    return {"eve": parse_eve, "jsonl": parse_jsonl}[fmt](lines)
 
 
 def parse_unsw(raw: DataFrame) -> DataFrame:
@@ -316,5 +350,7 @@ def read_stream(spark: SparkSession, directory: str, fmt: str, max_files: int =
         unique = {n.lower(): n for n in names}
         schema = T.StructType([T.StructField(n, T.StringType()) for n in unique.values()])
         return parse_csv(src.schema(schema).option("header", True).option("enforceSchema", False).csv(directory))
+    if fmt == "zeek":
+        return parse_zeek_files(src.text(directory, wholetext=True))
     lines = src.text(directory)
     return {"eve": parse_eve, "jsonl": parse_jsonl}[fmt](lines)
