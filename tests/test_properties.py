@@ -152,3 +152,14 @@ def test_bundle_aligns_any_batch(spark):
     assert rows[0].asDict() == {"id": 1, "dur": 2.0, "ghost": 0.0, "proto_tcp": 1.0, "proto_OTHER": 0.0, "proto_UNK": 0.0,
                                 "service_http": 0.0, "service_OTHER": 0.0, "service_UNK": 0.0}
     assert rows[1]["dur"] == 0.0 and rows[1]["proto_UNK"] == 1.0
+
+
+def test_address_filter_keeps_all_members(spark):
+    """No member is lost, null is none, and few others pass."""
+    for n in (1, 700, 5000):
+        values = spark.range(n).select(F.concat(F.lit("10.0."), F.col("id").cast("string")).alias("value"))
+        may = cti.address_filter(values, n)
+        others = spark.range(20000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("value"))
+        assert values.where(may("value")).count() == n
+        assert others.where(may("value")).count() < 20000 * 0.03
+        assert spark.sql("select cast(null as string) as value").where(F.coalesce(may("value"), F.lit(False))).count() == 0

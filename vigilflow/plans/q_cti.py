@@ -198,6 +198,12 @@ def cti_enrich(spark, sf):
     return _features(_enriched(spark, sf), "flow_id")
 
 
+@query("cti_enrich_shuffled", v.cte("entries", "t0") + "," + enriched_cte() + f"select flow_id, {FEATURES_SQL} from enriched")
+def cti_enrich_shuffled(spark, sf):
+    """The plan for timelines too large to broadcast: a filter of their addresses first, then joins by shuffle."""
+    return _features(_enriched(spark, sf, broadcast_rows=0), "flow_id")
+
+
 @query("cti_age_score", v.cte("entries", "t0") + "," + enriched_cte() +
        "select cast(age_s / 3600 as bigint) as age_h, count(*) as n, round(avg(feed_age_score), 5) as score from enriched group by 1")
 def cti_age_score(spark, sf):
