@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -59,6 +60,7 @@ LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_IN_ARTICLE = 10, 0.05, 0.3
 MOST_HASHES = 1_000_000  # eight bytes each are broadcast
 
 
+@lru_cache(maxsize=20_000)
 def named(name: str) -> frozenset[str]:
     """The template words of a class or id; none where any other word but one of layout stands beside them."""
     if name in NAMES:
@@ -68,6 +70,9 @@ def named(name: str) -> frozenset[str]:
     return hit if hit and all(w in NAMES or w in LAYOUT or len(w) < 2 or w.isdigit() for w in words) else frozenset()
 
 
+NO_NAMES: frozenset[str] = frozenset()
+
+
 class Element:
     __slots__ = ("tag", "names", "attrs", "parts", "parent", "hash", "holds")
 
@@ -76,7 +81,9 @@ class Element:
         self.parts: list[Element | str] = []
         self.holds = False  # an article or main part stands inside
         self.hash = 0
-        self.names = frozenset().union(*map(named, (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower())))
+        self.names = NO_NAMES
+        if "class" in attrs or "id" in attrs:
+            self.names = NO_NAMES.union(*map(named, (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower())))
 
     @property
     def is_main(self) -> bool:
