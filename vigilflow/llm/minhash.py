@@ -267,7 +267,18 @@ def _blocks(rows: DataFrame, best: bool) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows (node, rid, n, color, ...) of nodes that hold more than one component, with the node's size c."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("color").alias("lo"), F.max("color").alias("hi")).where("lo != hi").select("node", "c")
-    return rows.join(nodes, "node")
+    return rows.drop("c").join(nodes, "node")
+
+
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where(F.col("c") <= SMALL), rows.where(F.col("c") > SMALL)
+
+
+def recolored(small: DataFrame, large: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes under the components that ``merged`` (color, whole) makes, read once and written for the next round; a
+    node whose documents are one component by now has no pair left to compare and goes."""
+    rows = small.unionByName(large).join(merged, "color", "left").withColumn("color", F.coalesce("whole", "color")).drop("whole")
+    return _by_size(store(_mixed(store(rows, "minhash-recolored")), "minhash-mixed"))
 
 
 def mixed_nodes(shared: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +286,7 @@ def mixed_nodes(shared: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[Da
     colored = shared.join(comp.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
         "node", "rid", "n", F.coalesce("root", "rid").alias("color"))
     rows = store(_mixed(colored).join(reps.select("rid", "sketch"), "rid"), "minhash-mixed").select("node", "rid", "n", "color", "sketch", "c")
-    return rows.where(F.col("c") <= SMALL), rows.where(F.col("c") > SMALL)
+    return _by_size(rows)
 
 
 def across(small: DataFrame, large: DataFrame, best: bool) -> DataFrame:
@@ -382,7 +393,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
             continue
         merged = store(components(found).withColumnsRenamed({"node": "color", "component": "whole"}), "minhash-merged")
         now = broadcast_if_small(merged, IDS)
-        small, large = (d.join(now, "color", "left").withColumn("color", F.coalesce("whole", "color")).drop("whole") for d in (small, large))
+        small, large = recolored(small, large, now)
         # documents that were a component of their own get a row
         known = comp.join(now, "color", "left").select("rid", F.coalesce("whole", "color").alias("color"))
         alone = merged.select(F.col("color").alias("rid"), F.col("whole").alias("color")).join(comp.select("rid"), "rid", "left_anti")
