@@ -63,6 +63,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The path as Hadoop sees it and its file system, for the few places that handle files themselves."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count at most ``max_rows + 1`` rows to learn whether ``df`` may be broadcast."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -6,6 +6,7 @@ with ``source``. Transport is left to whatever lands the files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators.ioc import COLUMNS, normalise
 from ..operators.ranks import ranked
-from ..session import shared_dir
+from ..session import file_system, shared_dir
 
 # ------------------------------------------------------------------ fixed values
 THREATFOX_CONFIDENCE = {"low": 0.3, "medium": 0.6, "high": 0.9}
@@ -212,10 +213,50 @@ def poll_report(polls: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ snapshots
+def _names(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
+    """(folder, name) of what matches."""
+    at, fs = file_system(spark, pattern)
+    found = [x.getPath() for x in fs.globStatus(at) or []]
+    return [(x.getParent().getName(), x.getName()) for x in found]
+
+
 def write_snapshot(records: DataFrame, path: str, poll_ts: int) -> None:
-    """Append one poll, a folder per source and poll time."""
-    out = records.withColumn("poll_ts", F.lit(int(poll_ts)).cast("long"))
-    out.write.mode("append").partitionBy("source", "poll_ts").parquet(path)
+    """Keep one poll, a folder per source and poll time; a poll that comes again replaces its rows.
+
+    Once the rows are there, the source's pointer names the poll, if it is not older than the one named before. A crash
+    in between leaves readers with the poll before; one writer at a time polls a source.
+    """
+    spark, poll = records.sparkSession, int(poll_ts)
+    out = records.withColumn("poll_ts", F.lit(poll).cast("long"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "poll_ts").parquet(path)
+    _, fs = file_system(spark, path)
+    at = lambda *parts: file_system(spark, "/".join((path, "_newest", *parts)))[0]
+    held = _names(spark, f"{path}/_newest/source=*/*")
+    for source in {s for s, _ in _names(spark, f"{path}/source=*/poll_ts={poll}")}:
+        before = [name for s, name in held if s == source]
+        if all(int(name.split("-")[0]) <= poll for name in before):
+            fs.create(at(source, f"{poll}-{uuid.uuid4().hex}")).close()
+            for name in before:
+                fs.delete(at(source, name), False)
+
+
+def newest_polls(spark: SparkSession, path: str) -> dict[str, tuple[int, str]]:
+    """Each source folder's newest poll and a mark that changes when it is written again, from the pointers alone. Only a
+    source that has none, as other writers leave it, has its polls listed."""
+    newest: dict[str, tuple[int, str]] = {}
+    for source, name in _names(spark, f"{path}/_newest/source=*/*"):
+        poll, mark = name.split("-")
+        newest[source] = max(newest.get(source, (int(poll), mark)), (int(poll), mark))
+    for source in {name for _, name in _names(spark, f"{path}/source=*")} - newest.keys():
+        polls = [int(name.split("=")[1]) for _, name in _names(spark, f"{path}/{source}/poll_ts=*")]
+        if polls:
+            newest[source] = (max(polls), "")
+    return newest
+
+
+def read_newest(spark: SparkSession, path: str, polls: dict[str, tuple[int, str]]) -> DataFrame:
+    """Rows of the polls that :func:`newest_polls` names; older ones are neither listed nor read."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{s}/poll_ts={poll}" for s, (poll, _) in sorted(polls.items())])
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,7 @@ from ..operators import cti
 from ..operators import explain as ex
 from ..operators import models as ml
 from ..operators import shap
-from ..session import BROADCAST_ROWS, small_enough
+from ..session import BROADCAST_ROWS, file_system, shared_dir, small_enough
 from ..sources import feeds
 from ..sources.sinks import Sink
 
@@ -36,46 +40,81 @@ def replay(stream: DataFrame, on_batch: BatchFn, checkpoint: str) -> StreamingQu
 
 
 class FeedTable:
-    """Indicators for a running query, re-read per batch; an empty or unreadable refresh keeps the old ones.
+    """Indicators for a running query, looked up per batch; an empty or unreadable refresh keeps the old ones.
 
-    The poll grid starts at a fixed ``t0``, so features do not depend on how the input is cut into batches.
+    A look reads one pointer per source, however long the history is, and only new polls lead to a new table. It is
+    written to the shared folder; an old one is deleted once the batches that took it (``in_use``) have ended, and not
+    before a second refresh. The poll grid starts at a fixed ``t0``, so features do not depend on how the input is cut
+    into batches.
     """
 
     def __init__(self, spark: SparkSession, snapshots: str, interval_s: float, ttl_s: float, t0: float):
         self.spark, self.path = spark, snapshots
         self.interval_s, self.ttl_s, self.t0 = interval_s, ttl_s, t0
         self.slotted: DataFrame | None = None
-        self.polls: tuple = ()
+        self.polls: dict = {}
         self.last_error = ""
+        self.kept: list[str] = []  # folders of the tables, newest last
+        self._users: Counter = Counter()
+        self._lock = threading.RLock()
 
     def refresh(self) -> bool:
         """True when newer snapshots were taken over."""
-        try:
-            snaps = feeds.read_snapshots(self.spark, self.path)
-            polls = tuple(sorted(tuple(r) for r in snaps.groupBy("source").agg(F.max("poll_ts")).collect()))  # one row per feed
-            if not polls:
-                raise RuntimeError("no indicator records")
-            if polls == self.polls:
+        with self._lock:
+            try:
+                polls = feeds.newest_polls(self.spark, self.path)
+                if not polls:
+                    raise RuntimeError("no indicator records")
+                if polls == self.polls:
+                    return False
+                live = cti.live_entries(feeds.read_newest(self.spark, self.path, polls).withColumn("seq", F.xxhash64("value", "source")))
+                tl = cti.timeline(cti.evidence(live), self.interval_s, self.t0)
+                slotted = cti.slotted_timeline(tl, self.interval_s, self.ttl_s, self.t0)
+                at = shared_dir(self.spark, f"feed-{uuid.uuid4().hex}")
+                slotted.write.parquet(at)
+                stored = self.spark.read.schema(slotted.schema).parquet(at)
+                self.slotted = F.broadcast(stored) if small_enough(stored, BROADCAST_ROWS) else stored
+                self.kept.append(at)
+                self.polls, self.last_error = polls, ""
+                self._free()
+                return True
+            except Exception as exc:  # noqa: BLE001 - a feed failure must not stop scoring
+                self.last_error = f"{type(exc).__name__}: {exc}"
                 return False
-            live = cti.live_entries(feeds.latest_snapshot(snaps).withColumn("seq", F.xxhash64("value", "source")))
-            tl = cti.timeline(cti.evidence(live), self.interval_s, self.t0)
-            slotted = cti.slotted_timeline(tl, self.interval_s, self.ttl_s, self.t0).persist()
-            if self.slotted is not None:
-                self.slotted.unpersist()
-            self.slotted = F.broadcast(slotted) if small_enough(slotted, BROADCAST_ROWS) else slotted
-            self.polls, self.last_error = polls, ""
-            return True
-        except Exception as exc:  # noqa: BLE001 - a feed failure must not stop scoring
-            self.last_error = f"{type(exc).__name__}: {exc}"
-            return False
-
-    def enrich(self, flows: DataFrame, half_life_s: float) -> DataFrame:
+
+    def _free(self) -> None:
+        for at in [x for x in self.kept[:-2] if not self._users[x]]:
+            folder, fs = file_system(self.spark, at)
+            fs.delete(folder, True)
+            self.kept.remove(at)
+
+    def _have(self) -> None:
         if self.slotted is None:
             self.refresh()
         if self.slotted is None:
             raise RuntimeError(f"no indicators yet ({self.last_error})")
-        j = cti.asof_join(flows, self.slotted, "src_ip", self.interval_s, self.ttl_s, self.t0, "_src")
-        j = cti.asof_join(j, self.slotted, "dst_ip", self.interval_s, self.ttl_s, self.t0, "_dst")
+
+    @contextmanager
+    def in_use(self) -> Iterator[DataFrame]:
+        """The current table, which stays while the block runs even if refreshes replace it meanwhile."""
+        with self._lock:
+            self._have()
+            at, table = self.kept[-1], self.slotted
+            self._users[at] += 1
+        try:
+            yield table
+        finally:
+            with self._lock:
+                self._users[at] -= 1
+                self._free()
+
+    def enrich(self, flows: DataFrame, half_life_s: float, slotted: DataFrame | None = None) -> DataFrame:
+        """Flows with the features of ``slotted``, the table of an ``in_use`` block, or of the current one."""
+        if slotted is None:
+            self._have()
+            slotted = self.slotted
+        j = cti.asof_join(flows, slotted, "src_ip", self.interval_s, self.ttl_s, self.t0, "_src")
+        j = cti.asof_join(j, slotted, "dst_ip", self.interval_s, self.ttl_s, self.t0, "_dst")
         return cti.with_features(j, flows.columns, half_life_s)
 
 
@@ -85,8 +124,12 @@ def scorer(feed: FeedTable, bundle: ml.Bundle, model, sink: Sink, half_life_s: f
 
     def on_batch(flows: DataFrame, batch_id: int) -> None:
         feed.refresh()
+        with feed.in_use() as indicators:
+            emit(flows, batch_id, indicators)
+
+    def emit(flows: DataFrame, batch_id: int, indicators: DataFrame) -> None:
         rows = flows.where(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
-        e = add_rates(feed.enrich(rows, half_life_s))
+        e = add_rates(feed.enrich(rows, half_life_s, indicators))
         carry = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "ts", "_proto")
         d = bundle.design(e.withColumn("_proto", F.col("proto")), carry)
         vec = ml.prepare(d, bundle.features, (*carry, *[c for c in ("dur", "sbytes", "dbytes", *cti.FEATURES) if c in d.columns]))
