@@ -77,7 +77,9 @@ def fmt_syslog(spark, sf):
     return a.select("alert_id", sinks.syslog_line(payload, F.timestamp_seconds("flow.ts")).alias("line"))
 
 
-@query("sink_alerts")
+@query("sink_alerts", v.cte("alerts") + """,
+d as (select cast(make_timestamp(cast(ts * 1000000 as bigint)) as date) as day, count(*) as n from alerts group by 1)
+select day, n from d order by day desc limit 10""")
 def sink_alerts(spark, sf):
     """Two batches and one of them again; retention keeps the newest ten days."""
     path = _dir(spark, "alerts")
@@ -89,7 +91,7 @@ def sink_alerts(spark, sf):
     return sinks.retained(back, 10).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_fanout")
+@query("sink_fanout", v.cte("alerts") + "select count(*) as n, 1 as errors_broken, 0 as errors_json from alerts")
 def sink_fanout(spark, sf):
     """A failing sink is counted; the other one still gets every alert."""
     path = _dir(spark, "fan")
@@ -103,7 +105,8 @@ def sink_fanout(spark, sf):
     return stored.withColumns({f"errors_{k}": F.lit(n) for k, n in emit.errors.items()})
 
 
-@query("sink_tables")
+@query("sink_tables", v.cte("alerts") + """
+select proto, count(*) as n, count(*) / (select count(*) from alerts) as share, cast(count(*) as varchar) as n_csv from alerts group by 1""")
 def sink_tables(spark, sf):
     path = _dir(spark, "tables")
     a = v.alerts(spark, sf)

@@ -72,7 +72,7 @@ def ml_importance(spark, sf):
     return ml.importance(model, feats, spark)
 
 
-@query("ml_bundle")
+@query("ml_bundle", v.cte("flows") + "select count(*) as n, count(*) as equal from flows")
 def ml_bundle(spark, sf):
     """Saved, loaded, and applied to raw enriched flows: the scores of both must agree."""
     d, feats, num, vocab, p, model = _forest(spark, sf)

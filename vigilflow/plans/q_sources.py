@@ -75,7 +75,7 @@ def src_cic_flows(spark, sf):
                       F.round("`Flow Duration`", 3).alias("duration_us"))
 
 
-@query("src_cached_flows")
+@query("src_cached_flows", v.cte("flows") + "select proto, count(*) as n from flows group by 1")
 def src_cached_flows(spark, sf):
     """Written once under a parameter-keyed path, then read back."""
     path = _dir(spark, "flows_rows0_seed42")
@@ -423,7 +423,9 @@ def flt_comments(spark, sf):
     return feeds.data_lines(lines).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).cast("bigint").alias("chars"))
 
 
-@query("snap_write")
+@query("snap_write", v.cte("iocs") + """,
+p as (select source, case when seq % 2 = 0 then 1 when source <> 'cins' then 2 end as poll_ts from iocs)
+select source, poll_ts, count(*) as n from p join (select source, max(poll_ts) as poll_ts from p group by 1) using (source, poll_ts) group by 1, 2""")
 def snap_write(spark, sf):
     path = _dir(spark, "snap")
     i = v.iocs(spark, sf)
