@@ -47,5 +47,5 @@ def test_stages(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 14))
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
