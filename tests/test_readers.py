@@ -59,6 +59,29 @@ def test_headers_on_a_stream(spark, logs, tmp_path_factory):
     assert columns(spark.read.parquet(out + "/rows")) == want
 
 
+def test_stream_reads_logs_in_splits(spark, logs, tmp_path_factory):
+    """No row holds a whole file: a file of the stream is read by several tasks, headers found by position."""
+    path, want = logs
+    out, parts = str(tmp_path_factory.mktemp("out")), []
+
+    def keep(rows, batch_id):
+        rows.write.parquet(f"{out}/rows/batch={batch_id}")
+
+    def seen(lines, batch_id):
+        parts.append(lines.rdd.getNumPartitions())
+        fl.zeek_batches(keep)(lines, batch_id)
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        fl.zeek_line_stream(spark, path, max_files=1).writeStream.option("checkpointLocation", out + "/state").foreachBatch(seen).trigger(
+            availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert columns(spark.read.parquet(out + "/rows")) == want
+    assert max(parts) > 3
+
+
 def test_benchmark_parts_and_registry(spark, tmp_path):
     row = {c: "1" for c in fl.UNSW_COLUMNS} | {"srcip": " 10.0.0.1", "dstip": "10.0.0.2", "proto": "tcp", "attack_cat": " Fuzzers ", "Stime": "1421927414"}
     for k in (1, 2):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..sources import feeds, flows as fl, sinks
 from ..session import shared_dir, spread
+from ..streaming import scoring as st
 from . import views as v
 from .registry import query, table
 
@@ -215,8 +216,8 @@ def src_zeek_files(spark, sf):
 def stream_zeek_files(spark, sf):
     """The same files as a stream."""
     out, state = _dir(spark, "zeek-out"), _dir(spark, "zeek-state")
-    flows = fl.read_stream(spark, _zeek_logs(spark, sf), "zeek")
-    flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    lines = fl.zeek_line_stream(spark, _zeek_logs(spark, sf))
+    st.replay(lines, fl.zeek_batches(st.upsert_table(out)), state)
     return native(spark.read.parquet(out).withColumn("flow_id", F.lit(0))).drop("flow_id")
 
 

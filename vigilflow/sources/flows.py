@@ -141,7 +141,7 @@ def parse_zeek(lines: DataFrame, file_col: str = "file", keep=(), pos_col: str |
 
 def parse_zeek_files(files: DataFrame, keep=()) -> DataFrame:
     """Whole log files, one to a row in ``value``, each line under the last header before it. Nothing is joined, so this
-    serves streams, whose files come whole; a file must fit in a row."""
+    serves streams of small files, whose text must fit in a row; for large ones see :func:`zeek_batches`."""
     lines = files.select(*keep, F.split("value", "\r?\n").alias("_l"))
     heads = F.filter(F.transform("_l", lambda x, i: F.when(x.startswith("#fields"), F.struct(i.alias("i"), _zeek_fields(x).alias("f")))),
                      lambda h: h.isNotNull())
@@ -342,8 +342,25 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def zeek_line_stream(spark: SparkSession, directory: str, max_files: int = 64) -> DataFrame:
+    """Log lines of a folder that files are moved into, with their file and the start of their split."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(directory).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def zeek_batches(on_batch):
+    """``foreachBatch`` function that hands the flows of a :func:`zeek_line_stream` to ``on_batch``. A file comes in one
+    micro-batch, so a line finds its header there; files are read in splits, whatever their size."""
+
+    def parse(lines: DataFrame, batch_id: int) -> None:
+        pos = F.struct("start", F.monotonically_increasing_id().alias("line")).alias("pos")
+        on_batch(parse_zeek(lines.select("value", "file", pos), pos_col="pos"), batch_id)
+
+    return parse
+
+
 def read_stream(spark: SparkSession, directory: str, fmt: str, max_files: int = 64) -> DataFrame:
-    """Continuous flow source over a folder that files are moved into."""
+    """Continuous flow source over a folder that files are moved into. Zeek logs come whole here, see :func:`zeek_batches`."""
     src = spark.readStream.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         names = sorted({a for keys in ALIASES.values() for a in keys if "." not in a}, key=str.lower)
