@@ -106,29 +106,52 @@ def explainer(nodes: DataFrame, n_features: int, klass: int = 1) -> Explainer:
     return Explainer(tuple(groups), base, n_features)
 
 
+def _gains(g: Leaves, on: np.ndarray) -> np.ndarray:
+    """What each leaf gives to each feature on its path (feature, row, leaf), for rows that are ``on`` its intervals or not
+    (row, leaf, feature)."""
+    d = g.feature.shape[1]
+    t, w = np.polynomial.legendre.leggauss(d // 2 + 1)
+    t, w = (t + 1) / 2, w / 2
+    miss = g.cover[:, :, None] * (1 - t)  # leaf, feature, node: factor when the row is off the interval
+    factor = miss[None] + on[..., None] * t
+    prod = factor.prod(axis=2)
+    return np.stack([((prod / factor[:, :, j]) * w).sum(axis=2) * (on[:, :, j] - g.cover[:, j]) * g.value for j in range(d)])
+
+
 def shap_matrix(ex: Explainer, x: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
-    """Contributions (rows, features) to the class probability."""
+    """Contributions (rows, features) to the class probability.
+
+    A leaf sees of a row only which of its intervals hold it. Where there are fewer such patterns than rows, the sums are
+    worked out for every pattern and looked up by the rows.
+    """
     phi = np.zeros((len(x), ex.n_features))
     for g in ex.groups:
         n_leaf, d = g.feature.shape
-        t, w = np.polynomial.legendre.leggauss(d // 2 + 1)
-        t, w = (t + 1) / 2, w / 2
-        miss = g.cover[:, :, None] * (1 - t)  # leaf, feature, node: factor when the row is off the interval
         orders = [np.argsort(g.feature[:, j], kind="stable") for j in range(d)]
-        step = max(1, cells // (n_leaf * d * len(t)))
+        nodes, table = d // 2 + 1, None
+        if (1 << d) < len(x) and (n_leaf * d << d) <= cells:
+            every = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1 == 1
+            at_once = max(1, cells // (n_leaf * d * nodes))
+            table = np.concatenate([_gains(g, np.broadcast_to(every[p:p + at_once, None], (len(every[p:p + at_once]), n_leaf, d)))
+                                    for p in range(0, 1 << d, at_once)], axis=1)
+        step = max(1, cells // (n_leaf * d * (8 if table is not None else nodes)))
         for s in range(0, len(x), step):
             xs = x[s:s + step]
-            v = xs[:, g.feature]
-            on = (v > g.low) & (v <= g.high)  # row, leaf, feature
-            factor = miss[None] + on[..., None] * t
-            prod = factor.prod(axis=2)
+            if table is None:
+                v = xs[:, g.feature]
+                gains = _gains(g, (v > g.low) & (v <= g.high))
+            else:
+                held = np.zeros((len(xs), n_leaf), np.int64)
+                for j in range(d):
+                    v = xs[:, g.feature[:, j]]
+                    held |= ((v > g.low[:, j]) & (v <= g.high[:, j])).astype(np.int64) << j
+                held = held * n_leaf + np.arange(n_leaf)
+                gains = [of.ravel().take(held) for of in table]
             for j in range(d):
-                part = ((prod / factor[:, :, j]) * w).sum(axis=2)
-                gain = part * (on[:, :, j] - g.cover[:, j]) * g.value
                 o = orders[j]
                 f = g.feature[o, j]
                 first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                phi[s:s + step, f[first]] += np.add.reduceat(gain[:, o], first, axis=1)
+                phi[s:s + step, f[first]] += np.add.reduceat(gains[j][:, o], first, axis=1)
     return phi
 
 
