@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -59,7 +60,13 @@ def prepare(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Data
 
 
 def fit(train: DataFrame, estimator):
-    return estimator.fit(weighted(train))
+    """Fit with balanced weights. The rows are joined and assembled once, in their partitions and order, and kept (on disk
+    where memory is short) while the estimator reads them for counts, borders and its own form."""
+    rows = weighted(train).select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model, df: DataFrame) -> DataFrame:
