@@ -104,3 +104,56 @@ def test_other_text_of_a_dropped_id_stays(spark):
     got = mh.deduplicate(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, a), (7, b)]
+
+
+def test_blocks_return_a_row_per_component_not_per_block(spark, monkeypatch):
+    """400 documents of one component and 40 others, all alike: what a node's blocks return grows with the others only."""
+    monkeypatch.setattr(mh, "BLOCK", 8)
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 256, mh.TOKENS, dtype=np.uint8)
+
+    def near(k):
+        s = base.copy()
+        s[rnd.choice(mh.TOKENS, k, replace=False)] ^= np.uint8(1)
+        return s
+
+    sk = [near(int(rnd.integers(0, 20))) for _ in range(440)]
+    rows = [(5, i, 50, 0 if i < 400 else i, s.tobytes()) for i, s in enumerate(sk)]
+    nodes = spark.createDataFrame(rows, "node long, rid long, n long, color long, sketch binary")
+    same = {(i, j): int((sk[i] == sk[j]).sum()) for i in range(440) for j in range(i + 1, 440) if j >= 400}
+    of = {(i, j): (0 if i < 400 else i, j) for i, j in same}
+    got = mh._blocks(nodes).collect()
+    assert len(got) <= 40 + 40 // 8 * 3, len(got)
+    for c in (0, *range(400, 440)):
+        mine = [(-same[p], *p) for p in same if c in of[p] and same[p] >= mh.AGREE]
+        have = [(-r.same, r.a, r.b) for r in got if c in (r.ca, r.cb)]
+        assert min(mine) == min(have)
+
+
+def test_block_links_connect_without_listing_pairs(spark, monkeypatch):
+    """300 components that are all candidates of each other and linked in chains of ten: only links come back, few of them."""
+    monkeypatch.setattr(mh, "BLOCK", 16)
+    rnd = np.random.default_rng(6)
+    sk = rnd.integers(0, 256, mh.TOKENS, dtype=np.uint8).tobytes()
+    rows = []
+    for i in range(300):
+        if i % 10 == 0:
+            s = rnd.integers(1, 1 << 63, 100, dtype=np.uint64)
+        s = np.sort(np.concatenate([rnd.permutation(s)[:94], rnd.integers(1, 1 << 63, 6, dtype=np.uint64)]))
+        rows.append((5, i, 100, i, sk, s.tobytes()))
+    nodes = spark.createDataFrame(rows, "node long, rid long, n long, color long, sketch binary, set binary")
+    got = [(r.a, r.b) for r in mh._block_links(nodes).collect()]
+    assert all(a // 10 == b // 10 for a, b in got)
+    label = list(range(300))
+    for _ in range(10):
+        for a, b in got:
+            label[a] = label[b] = min(label[a], label[b])
+    sets = [set(np.frombuffer(r[5], np.uint64).tolist()) for r in rows]
+    want = list(range(300))
+    for _ in range(10):
+        for a in range(300):
+            for b in range(a + 1, min(300, a - a % 10 + 10)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert label == want
+    assert len(got) <= 300 * 9 // 10 * 2

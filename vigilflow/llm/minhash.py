@@ -10,7 +10,8 @@ Nodes are then compared:
 1. every document with the first one of its nodes; the closest by sketch is confirmed on full sets and joined;
 2. nodes whose documents now all belong to one component are done; all others are compared exhaustively by sketch (one
    byte per token) across components, large ones in blocks: twice the closest pair of every component is confirmed and
-   joins it, then every two components still apart that have a candidate pair are compared by all their documents.
+   joins it, then every two components still apart that have a candidate pair in a small node are compared by all their
+   documents, and the candidate pairs of large nodes are confirmed where they meet.
 Candidates are confirmed on full sets. Large groups of copies are thereby linked by stars, and the pairs inside a group
 are never listed; no pair of different components goes unconfirmed. The sketch leaves out pairs whose tokens agree so
 rarely that a true link would do so with probability 3e-6.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, parallelism
 from .common import release, store, texts
 from .components import components
 
@@ -40,6 +41,7 @@ TOKENS, TREES, DEPTH = 128, 12, 3
 AGREE = 74
 SMALL = 64  # documents of a node that are compared exhaustively
 BLOCK = 1024
+SHINGLES = 1 << 20  # of the documents of a block
 PART = 512  # documents of a component that meet others in one task
 ROUNDS = (True, True, False)  # twice each component's closest pair, then all pairs still apart
 IDS = 2_000_000  # document ids that may be broadcast
@@ -144,14 +146,17 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1))
 
 
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets (sorted distinct values) reach the similarity."""
+    p, q = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = np.count_nonzero(q[at] == p) if len(p) else 0
+    return 100 * both >= 75 * (len(p) + len(q) - both)
+
+
 def linked(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two sets (sorted 64-bit values) reach the similarity."""
-    out = []
-    for x, y in zip(a, b):
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        out.append(100 * both >= 75 * (len(p) + len(q) - both))
-    return pd.Series(out)
+    return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)])
 
 
 def _sizes_allow(a: str, b: str):
@@ -234,34 +239,136 @@ def _small(rows: DataFrame, best: bool) -> DataFrame:
     return rows.select("node", "rid", "n", "color", "sketch").repartition("node").sortWithinPartitions("node", "rid").mapInPandas(run, PAIRS)
 
 
-def _blocks(rows: DataFrame, best: bool) -> DataFrame:
-    """Comparison of large nodes in blocks. The documents of a node's largest component, a large group of near copies as a
-    rule, are not compared among themselves: only the others (``minor``) meet all of the node, so that the work grows with
-    the group and not with its square. A block of them and a block of the node are one task's group of bounded size."""
-    colors = rows.groupBy("node", "color").agg(F.count("*").alias("k"))
-    nodes = colors.groupBy("node").agg(F.max_by("color", F.struct("k", -F.col("color"))).alias("main"), F.sum("k").alias("c"), (F.sum("k") - F.max("k")).alias("m")).where("m > 0")
-    r = rows.select("node", "rid", "n", "color", "sketch").join(nodes, "node").withColumn("minor", F.col("color") != F.col("main"))
-    r = r.withColumns({"i": F.ceil(F.col("m") / BLOCK).cast("int"), "j": F.ceil(F.col("c") / BLOCK).cast("int")})
-    own = lambda of: F.pmod(F.xxhash64("rid"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    kept = ["node", "rid", "n", "color", "sketch", "minor"]
-    left = r.where("minor").select(*kept, own("i").alias("x"), every("j").alias("y"), F.lit(False).alias("right"))
-    right = r.select(*kept, every("i").alias("x"), own("j").alias("y"), F.lit(True).alias("right"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        l, r = b[~b["right"]], b[b["right"]]
-        out = []
-        sk = [np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), TOKENS) for s in (l, r)]
-        nr, cr, ir, mr = (r[c].to_numpy() for c in ("n", "color", "rid", "minor"))
-        for x, n, c, i in zip(sk[0], l["n"], l["color"], l["rid"]):
-            ok = np.flatnonzero((cr != c) & ~(mr & (ir < i)) & (100 * np.minimum(n, nr) >= 75 * np.maximum(n, nr)))  # two of the minor ones meet once
-            same = (sk[1][ok] == x).sum(1)
-            ok, same = ok[same >= AGREE], same[same >= AGREE]
-            full = np.full(len(ok), 0, np.int64)
-            out.append(np.stack([full + i, ir[ok], full + c, cr[ok], same, full]))
-        return _pairs(out, best)
-
-    return left.unionByName(right).groupBy("node", "x", "y").applyInPandas(run, PAIRS)
+def _meet(sk: np.ndarray, n: np.ndarray, color: np.ndarray, r: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of different components between the rows of ``sk`` and those of ``r``, and how many tokens agree."""
+    other, m, tint = r
+    few, many = ((sk, n, color), r) if len(sk) <= len(other) else (r, (sk, n, color))
+    found = []
+    for k in range(len(few[0])):
+        ok = np.flatnonzero((many[2] != few[2][k]) & (100 * np.minimum(few[1][k], many[1]) >= 75 * np.maximum(few[1][k], many[1])))
+        same = (many[0][ok] == few[0][k]).sum(1)
+        ok, same = ok[same >= AGREE], same[same >= AGREE]
+        found.append((np.full(len(ok), k), ok, same))
+    i, j, same = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return (i, j, same) if len(sk) <= len(other) else (j, i, same)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of large nodes, with their columns, dealt by (node, x). The documents of a node's largest component, a large
+    group of near copies as a rule, are not compared among themselves: only the others (``minor``) meet all of the node, so
+    that the work grows with the group and not with its square. Block ``x`` of them comes first, then the node's rows."""
+    colors = rows.groupBy("node", "color").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    order = F.struct("k", -F.col("color"))
+    nodes = colors.groupBy("node").agg(F.max_by("color", order).alias("main"), (F.sum("k") - F.max("k")).alias("m"), (F.sum("s") - F.max_by("s", order)).alias("w")).where("m > 0")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / SHINGLES)).cast("int")
+    r = rows.join(nodes.select("node", "main", blocks.alias("i")), "node").withColumn("minor", F.col("color") != F.col("main"))
+    kept = [*rows.columns, "minor"]
+    left = r.where("minor").select(*kept, F.pmod(F.xxhash64("rid"), F.col("i")).cast("int").alias("x"), F.lit(False).alias("right"))
+    right = r.select(*kept, F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("x"), F.lit(True).alias("right"))
+    # the count is given, as adaptive execution would put all into a few tasks by their bytes
+    return left.unionByName(right).repartition(parallelism(rows.sparkSession), "node", "x").sortWithinPartitions("node", "x", "right")
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Each block of ``_dealt`` rows (one object as long as it lasts) with the node's rows, which pass by in batches."""
+    key, held, block = None, [], None
+    for whole in batches:
+        if not len(whole):
+            continue
+        kinds = whole[["node", "x", "right"]]
+        cuts = np.flatnonzero((kinds != kinds.shift()).any(axis=1).to_numpy())
+        for lo, hi in zip(cuts, [*cuts[1:], len(whole)]):
+            b = whole.iloc[lo:hi]
+            at = (b["node"].iloc[0], b["x"].iloc[0])
+            if at != key:
+                key, held, block = at, [], None
+            if not b["right"].iloc[0]:
+                held.append(b)
+            elif held:  # a block that the hash gave no document has nothing to compare
+                block = pd.concat(held, ignore_index=True) if block is None else block
+                yield block, b
+
+
+def _candidates(block: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of different components, as places in ``block`` and ``b``, and how many tokens agree."""
+    few, many = (block, b) if len(block) <= len(b) else (b, block)
+    x, y = (np.frombuffer(b"".join(d["sketch"]), np.uint8).reshape(len(d), TOKENS) for d in (few, many))
+    n, color = many["n"].to_numpy(), many["color"].to_numpy()
+    found = []
+    for k, (m, c) in enumerate(zip(few["n"].to_numpy(), few["color"].to_numpy())):
+        ok = np.flatnonzero((color != c) & (100 * np.minimum(m, n) >= 75 * np.maximum(m, n)))
+        same = (y[ok] == x[k]).sum(1)
+        ok, same = ok[same >= AGREE], same[same >= AGREE]
+        found.append((np.full(len(ok), k), ok, same))
+    i, j, same = (np.concatenate(c) for c in zip(*found))
+    return (i, j, same) if few is block else (j, i, same)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The closest pair of every component in large nodes: one row for each component of a block and one for the node's
+    largest, however many rows pass."""
+
+    def meet(block: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j, same = _candidates(block, b)
+        (a, ca), (c, cb) = ((d["rid"].to_numpy()[k], d["color"].to_numpy()[k]) for d, k in ((block, i), (b, j)))
+        flip, main = ca > cb, ~b["minor"].to_numpy(bool)[j]
+        got = pd.DataFrame({"a": np.where(flip, c, a), "b": np.where(flip, a, c), "ca": np.minimum(ca, cb), "cb": np.maximum(ca, cb), "same": same, "side": ca})
+        return closest([got, got.assign(side=cb)[main]])
+
+    def closest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(["same", "a", "b"], ascending=[False, True, True]).drop_duplicates("side")
+
+    def result(best: pd.DataFrame) -> pd.DataFrame:
+        return best.drop_duplicates(["a", "b"])[["a", "b", "ca", "cb", "same"]].astype("int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best = None, None
+        for block, b in _meetings(batches):
+            if block is not now and best is not None:
+                yield result(best)
+                best = None
+            now, got = block, meet(block, b)
+            best = got if best is None else closest([best, got])
+        if best is not None:
+            yield result(best)
+
+    return _dealt(rows.select("node", "rid", "n", "color", "sketch")).mapInPandas(run, PAIRS)
+
+
+def _block_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between components of large nodes, whose rows have their ``set`` too. Candidates are confirmed where
+    they meet, the closest first, and pairs that the links so far connect are left out: a block returns fewer links than
+    its node has components, not its pairs of components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, found, up = None, [], {}
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        for block, b in _meetings(batches):
+            if block is not now:
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+                now, found, up = block, [], {}
+            i, j, same = _candidates(block, b)
+            a, c = block["rid"].to_numpy()[i], b["rid"].to_numpy()[j]
+            once = ~b["minor"].to_numpy(bool)[j] | (c > a)  # two of the minor ones meet in both blocks
+            order = np.argsort(-same[once], kind="stable")
+            i, j = i[once][order], j[once][order]
+            colors = zip(block["color"].to_numpy()[i].tolist(), b["color"].to_numpy()[j].tolist())
+            left, right = ([np.frombuffer(s, np.uint64) for s in d["set"]] for d in (block, b))
+            for x, y, (ca, cb) in zip(i.tolist(), j.tolist(), colors):
+                p, q = top(ca), top(cb)
+                if p != q and similar(left[x], right[y]):
+                    up[max(p, q)] = min(p, q)
+                    found.append((min(p, q), max(p, q)))
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return _dealt(rows.select("node", "rid", "n", "color", "sketch", "set")).mapInPandas(run, "a long, b long")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -289,17 +396,24 @@ def mixed_nodes(shared: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[Da
     return _by_size(rows)
 
 
-def across(small: DataFrame, large: DataFrame, best: bool) -> DataFrame:
-    """Pairs of components (ca, cb) with a candidate pair in these nodes. With ``best`` each component's closest only,
-    and the documents (a, b) of that."""
-    pairs = _small(small, best)
+def across(small: DataFrame, large: DataFrame) -> DataFrame:
+    """The closest pair of documents (a, b) of other components (ca, cb) that each component has in these nodes."""
+    pairs = _small(small, True)
     if not large.isEmpty():
-        pairs = pairs.unionByName(_blocks(large, best))
-    if best:
-        closest = F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("same", -F.col("a"), -F.col("b")))
-        sides = pairs.select("*", F.explode(F.array("ca", "cb")).alias("side"))
-        return store(sides.groupBy("side").agg(closest.alias("p")).select("p.*").distinct(), "minhash-across")
-    return store(pairs.select("ca", "cb").distinct(), "minhash-across")
+        pairs = pairs.unionByName(_blocks(large))
+    closest = F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("same", -F.col("a"), -F.col("b")))
+    sides = pairs.select("*", F.explode(F.array("ca", "cb")).alias("side"))
+    return store(sides.groupBy("side").agg(closest.alias("p")).select("p.*").distinct(), "minhash-across")
+
+
+def apart(small: DataFrame, large: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that are still apart in these nodes, from all candidate pairs."""
+    found = between(store(_small(small, False).select("ca", "cb").distinct(), "minhash-across"), reps, comp, docs)
+    if large.isEmpty():
+        return found
+    ids = large.select("rid").distinct()
+    full = _sets(store(reps.select("rid", "doc_id", "k1", "k2").join(ids, "rid"), "minhash-wanted"), docs)
+    return found.unionByName(store(_block_links(large.join(full, "rid")).distinct(), "minhash-block-links"))
 
 
 def between(pairs: DataFrame, reps: DataFrame, color: DataFrame, docs: DataFrame) -> DataFrame:
@@ -338,8 +452,7 @@ def between(pairs: DataFrame, reps: DataFrame, color: DataFrame, docs: DataFrame
                 ok = np.flatnonzero((same >= AGREE) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m)))
                 mine = np.frombuffer(raw, np.uint64)
                 for i in ok[np.argsort(-same[ok], kind="stable")]:
-                    both = len(np.intersect1d(sets[i], mine, assume_unique=True))
-                    if 100 * both >= 75 * (len(mine) + len(sets[i]) - both):
+                    if similar(sets[i], mine):
                         found.add(low)
                         break
         return pd.DataFrame({"a": [key[0]] * len(found), "b": sorted(found)})
@@ -385,10 +498,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     small, large = mixed_nodes(shared, reps, comp)
     comp = comp.select(F.col("node").alias("rid"), F.col("root").alias("color"))
     for best in ROUNDS:
-        pairs = across(small, large, best)
-        if pairs.isEmpty():
-            break
-        found = confirm(pairs, reps, docs).select(F.col("ca").alias("a"), F.col("cb").alias("b")) if best else between(pairs, reps, comp, docs)
+        if best:
+            pairs = across(small, large)
+            if pairs.isEmpty():
+                break
+            found = confirm(pairs, reps, docs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        else:
+            found = apart(small, large, reps, comp, docs)
         if found.isEmpty():
             continue
         merged = store(components(found).withColumnsRenamed({"node": "color", "component": "whole"}), "minhash-merged")
