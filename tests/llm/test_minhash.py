@@ -157,3 +157,13 @@ def test_block_links_connect_without_listing_pairs(spark, monkeypatch):
                     want[a] = want[b] = min(want[a], want[b])
     assert label == want
     assert len(got) <= 300 * 9 // 10 * 2
+
+
+def test_sketches_are_compared_in_one_python_step(spark):
+    rnd = np.random.default_rng(3)
+    sk = rnd.integers(0, 2, (40, mh.TOKENS)).astype(np.uint8)
+    rows = [(i, 0, sk[i].tobytes(), sk[0].tobytes()) for i in range(40)]
+    near = mh.agreeing(spark.createDataFrame(rows, "rid long, head long, x binary, y binary"))
+    assert {(r.rid, r.same) for r in near.collect()} == {(i, int((sk[i] == sk[0]).sum())) for i in range(40) if (sk[i] == sk[0]).sum() >= mh.AGREE}
+    plan = near.groupBy("rid").max("same")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan

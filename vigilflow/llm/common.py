@@ -22,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: what results depend on, and batches for Python that long texts cannot swell."""
+    """Session settings of these operators: what results depend on, batches for Python that long texts cannot swell, and
+    short batches of readers and row groups of writers, as tasks hold whole texts in both."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    spark.conf.set("parquet.block.size", str(16 << 20))
     return spark
 
 

@@ -140,10 +140,17 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
 
 
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many tokens of two sketches agree."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), TOKENS) for s in (a, b))
-    return pd.Series((x == y).sum(1))
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """(rid, head, same) of the pairs (rid, head, x, y) whose sketches agree in enough tokens; one step, as a filter on a
+    function's result would be pushed below it and call it twice, in two workers to a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), TOKENS) for c in "xy")
+            got = b[["rid", "head"]].assign(same=(x == y).sum(1))
+            yield got[got["same"] >= AGREE]
+
+    return pairs.select("rid", "head", "x", "y").mapInPandas(run, "rid long, head long, same int")
 
 
 def similar(p: np.ndarray, q: np.ndarray) -> bool:
@@ -490,8 +497,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     stars = shared.where((F.col("rid") != F.col("head")) & _sizes_allow("n", "hn")).select("rid", "head").distinct()
     sk = reps.select("rid", "sketch")
     near = stars.join(sk.withColumnRenamed("sketch", "x"), "rid").join(sk.select(F.col("rid").alias("head"), F.col("sketch").alias("y")), "head")
-    near = near.withColumn("same", F.pandas_udf(agreement, "int")("x", "y")).where(F.col("same") >= AGREE)
-    closest = near.groupBy("rid").agg(F.max_by("head", F.struct("same", -F.col("head"))).alias("a")).select("a", F.col("rid").alias("b"))
+    closest = agreeing(near).groupBy("rid").agg(F.max_by("head", F.struct("same", -F.col("head"))).alias("a")).select("a", F.col("rid").alias("b"))
     comp = roots(confirm(store(closest, "minhash-stars"), reps, docs))
 
     # then between the components that this leaves

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .common import bucket, hash_share, store, texts
+from .common import bucket, hash_share, release, store, texts
 
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 SIGN = re.compile(r"=>|[:=]{1,2}")
@@ -98,6 +98,7 @@ def learn_language(docs: DataFrame, max_words: int = 300_000, least: int = 3) ->
                     yield flush()
         if n:
             yield flush()
+        release()
 
     def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = sum((pair_counts(b["word"], b["n"]) for b in batches), np.zeros((26, 26), np.int64)).ravel()
@@ -218,6 +219,7 @@ def scan(docs: DataFrame, lang: Language, path_col: str = "source") -> DataFrame
             for i, key, t, p in zip(batch["doc_id"], batch["text_key"], texts(batch["text"]), texts(batch["path"])):
                 out += [(i, key, a, b, marked(t, a, b), features(t, a, b, p, lang)) for a, b in candidates(t)]
             yield pd.DataFrame(out, columns=["doc_id", "text_key", "start", "end", "by_format", "features"])
+        release()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.col(path_col).cast("string").alias("path"))
     return rows.mapInPandas(run, "doc_id long, text_key long, start long, end long, by_format int, features array<double>")
