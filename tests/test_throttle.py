@@ -4,6 +4,9 @@ import json
 import os
 import random
 
+import numpy as np
+import pandas as pd
+
 from vigilflow.streaming import scoring as st
 from vigilflow.streaming import throttle as th
 
@@ -46,3 +49,38 @@ def test_timers_clear_keys_that_stay_away(spark, tmp_path):
     totals = [op["numRowsTotal"] for p in q.recentProgress for op in (json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p)["stateOperators"]]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
     assert max(totals) <= 2 * max(totals[:1]), totals  # a slot's keys and timers go when the next one has passed
+
+
+def test_steps_equal_a_walk_over_the_rows():
+    rnd = random.Random(9)
+    for last in (None, -3.0, 2.5):
+        for period in (0.0, 0.3, 7.0):
+            ts = sorted(round(rnd.random() * 60, 1) for _ in range(300)) + [float("nan")]
+            want, at = [], last
+            for i, t in enumerate(ts):
+                if at is None or t - at > period:
+                    want.append(i)
+                    at = t
+            assert th.passing(np.array(ts), last, period) == want
+    assert th.passing(np.array([float("nan")]), None, 1.0) == [0] and th.passing(np.zeros(0), None, 1.0) == []
+
+
+class _Counted(float):
+    """A time that counts how often it is compared by difference."""
+    seen = 0
+
+    def __sub__(self, other):
+        _Counted.seen += 1
+        return float(self) - other
+
+
+def test_the_walk_steps_over_rows_that_cannot_pass():
+    assert len(th.passing([_Counted(i / 100) for i in range(20_000)], None, 50.0)) == 4
+    assert _Counted.seen < 100  # not one for each row
+
+
+def test_one_row_of_a_time_is_kept():
+    rows = pd.DataFrame({"ts": [3.0, 1.0, 3.0, None, 1.0, 2.0, 3.0], "k": ["c", "b", "a", "z", "a", None, "b"], "i": range(7)})
+    got = th.first_of_times(rows)
+    assert got["i"].tolist() == [4, 5, 2, 3]
+    assert th.first_of_times(rows[:0]).empty
