@@ -26,3 +26,9 @@ def whole(forest):
 
 def test_forest_of_ml_rf(spark, monkeypatch):
     assert all(map(whole, fitted(spark, monkeypatch, q_models.ml_rf)["RandomForestClassifier"]))
+
+
+def test_models_of_exp_baseline(spark, monkeypatch):
+    got = fitted(spark, monkeypatch, q_models.exp_baseline)
+    assert all(map(whole, got["RandomForestClassifier"])) and len(got["RandomForestClassifier"]) == 2
+    assert [x.getMaxIter() for x in got["GBTClassifier"]] == [250, 250] and len(got["LinearSVC"]) == 2
